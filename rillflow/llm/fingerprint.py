@@ -5,7 +5,7 @@ span follows from two of them: two spans are equal when (H[r] - H[l]) * B^(top -
 longest common extension of two positions is found by binary search over such comparisons.
 
 A text's fingerprint holds the hash and length of the whole and a sample of its spans: the spans of
-SPAN code points whose mixed hashes are the SAMPLE smallest. From the samples of two texts
+SPAN code points whose mixed hashes are the SAMPLE smallest, repeated spans counted. From the samples of two texts
 follows the Jaccard similarity J of their span sets (over the smallest hashes of the union); their
 likeness is 2J / (1 + J), the share of spans they have in common. In texts of fewer than 2 SPAN code
 points spans are half as long as the text. Fingerprints have a bounded size for any text.
@@ -92,7 +92,7 @@ class PrefixHash:
         return low
 
     def spans(self, width: int) -> np.ndarray:
-        """Distinct mixed hashes of all spans of `width`, by the first base."""
+        """Mixed hashes of all spans of `width`, by the first base; the k-th of equal spans has a hash of its own."""
         h, n = self.prefix[0], len(self.points) - width + 1
         if n < 1:
             return np.empty(0, _U)
@@ -103,7 +103,13 @@ class PrefixHash:
             d = (h[k + width : k + width + m] + _U(P) - h[k : k + m]) % _U(P)
             d = d * down[:m] % _U(P) * _U(pow(inverse, k, P)) % _U(P)
             out.append(d)
-        return mix(np.concatenate(out) + _U(1))
+        d = np.sort(np.concatenate(out))
+        again = np.flatnonzero(d[1:] == d[:-1]) + 1
+        if len(again):
+            first = np.arange(n)
+            first[again] = 0
+            d[again] += (again - np.maximum.accumulate(first)[again]).astype(_U) << _U(32)
+        return mix(d + _U(1))
 
 
 def sample_of(text: str) -> tuple[tuple, np.ndarray]:
@@ -115,10 +121,9 @@ def sample_of(text: str) -> tuple[tuple, np.ndarray]:
         return whole, np.empty(0, _U)
     s = own.spans(min(SPAN, max(1, n // 2)))
     few = s
-    if len(s) > 16 * SAMPLE:  # all spans with a hash up to the bound, so their distinct ones begin the sorted list
+    if len(s) > 16 * SAMPLE:  # hashes are distinct but for chance
         few = s[s <= np.partition(s, 4 * SAMPLE)[4 * SAMPLE]]
-    few = np.unique(few)
-    return whole, (few if len(few) >= SAMPLE else np.unique(s))[:SAMPLE]
+    return whole, np.unique(few)[:SAMPLE]
 
 
 def render(whole: tuple, sample: np.ndarray) -> str:

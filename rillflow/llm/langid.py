@@ -4,7 +4,8 @@ A text's vector holds hashed character 1- to 3-grams of its lower-cased letters
 else count as one space), weighted by (1 + ln tf) * idf and scaled to length 1. Each language has
 several centroids, found by spherical k-means on a bounded sample of labelled rows; a text takes
 the language of the centroid with the largest cosine. A text farther from all centroids than the
-learnt floor of the winning language is rejected.
+learnt floor of the winning language is rejected. A text of few n-grams cannot come near to a
+centroid, so below FULL different n-grams the floor shrinks with the root of their number.
 
 Defined results: null text, or text without a letter, is `und` with score 0, rejected; rows are
 independent; without labelled rows every text is `und`; an empty table gives an empty table.
@@ -25,6 +26,8 @@ from rillflow.llm.common import small_batches, texts_of
 DIMENSIONS = 1 << 14
 #: Code points of a text that are counted at once; longer texts are counted piece by piece.
 PIECE = 1 << 20
+#: Different n-grams from which on the floor of a language holds in full.
+FULL = 256
 
 
 @lru_cache(maxsize=1)
@@ -87,7 +90,7 @@ class Centroids:
         cosines = self.matrix[at].T @ w
         k = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[k])))
-        return self.languages[self.of[k]], score, score < self.floor[self.of[k]]
+        return self.languages[self.of[k]], score, score < self.floor[self.of[k]] * min(1.0, np.sqrt(len(at) / FULL))
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
