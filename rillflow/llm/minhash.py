@@ -12,9 +12,9 @@ pairs are all written out:
 
 1. documents with equal sets are one class from the start;
 2. in each bucket every class is compared with the bucket's least class (a star);
-3. components are built, and buckets that still hold several components give those pairs of
-   different components whose sketches agree in `NEAR` coordinates at least (6e-8 below 0.75's
-   spread); large buckets are compared block by block, in several tasks.
+3. components are built, and classes that share a bucket but are still apart are compared block by
+   block: pairs whose sketches agree in NEAR coordinates (6e-8 below 0.75's spread) are verified in
+   falling order of agreement while their components are apart. Only links leave the task.
 
 Defined results: null or wordless text has 0 shingles and is its own component; repeated rows come
 back as often as they came; rows with a null id take part, and their component is the least
@@ -36,8 +36,8 @@ COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
 #: Coordinates that must agree before a pair of step 3 is verified.
 NEAR = 70
-#: Members of a block of a large bucket, and partners of one copy of a star's hub.
-BLOCK, PARTNERS = 20_000, 256
+#: Classes and shingles of a block of a large bucket, and partners of one copy of a star's hub.
+BLOCK, BLOCK_SHINGLES, PARTNERS = 2_000, 2_000_000, 256
 
 _U = np.uint64
 
@@ -102,23 +102,21 @@ def bands_of(coordinates: np.ndarray) -> np.ndarray:
 def _facts(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            n, key, bands, sketches = [], [], [], []
+            n, key, bands = [], [], []
             for t in texts_of(b.column(2)):
                 s = shingles(t, width)
                 n.append(len(s))
                 if len(s):
-                    c = sketch(s)
                     key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(bands_of(c))
-                    sketches.append((c & _U(255)).astype(np.uint8).tobytes())
+                    bands.append(bands_of(sketch(s)))
                 else:
-                    key.append(None), bands.append(None), sketches.append(None)
+                    key.append(None), bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "nid", "n_shingles", "set_key", "bands", "sketch"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "nid", "n_shingles", "set_key", "bands"],
             )
 
-    return docs.select("doc_id", "nid", "text").mapInArrow(run, "doc_id long, nid long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "nid", "text").mapInArrow(run, "doc_id long, nid long, n_shingles long, set_key binary, bands array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -156,46 +154,83 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int = 5
     return hubs.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, "a long, b long")
 
 
-def _cross(group: list[tuple], emit: list) -> None:
-    """Pairs of different components in one block pair of a bucket whose sketches agree."""
-    node, comp, side, hub = (np.array([r[k] for r in group], np.int64) for k in range(4))
-    s = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(-1, COORDINATES)
-    two = side.min() != side.max()
+def _links_across(group: list[tuple], percent: int, width: int) -> list[tuple[int, int]]:
+    """Links that join different components of a block pair; `group` has (node, comp, block, text).
+
+    Pairs whose sketches agree are verified in falling order of agreement, and only while their
+    components are still apart.
+    """
+    sets = [shingles(text, width) for *_, text in group]
+    node, comp, block = (np.array([r[k] for r in group], np.int64) for k in range(3))
+    s = np.stack([(sketch(x) & _U(255)).astype(np.uint8) for x in sets])
+    two = block.min() != block.max()
     step = max(1, 32_000_000 // (COORDINATES * len(group)))
+    found = []
     for i in range(0, len(group), step):
         j = slice(i, i + step)
-        near = (s[j, None, :] == s[None, :, :]).sum(axis=2) >= NEAR
-        near &= (comp[j, None] != comp[None, :]) & (node[j, None] < node[None, :]) & (node[j, None] != hub[j, None]) & (node[None, :] != hub[None, :])
+        agree = (s[j, None, :] == s[None, :, :]).sum(axis=2, dtype=np.int16)
+        near = (agree >= NEAR) & (comp[j, None] != comp[None, :]) & (node[j, None] < node[None, :])
         if two:
-            near &= side[j, None] != side[None, :]
+            near &= block[j, None] != block[None, :]
         x, y = np.nonzero(near)
-        emit += zip(node[j][x].tolist(), node[y].tolist(), strict=True)
+        found.append(np.stack([-agree[x, y].astype(np.int64), x + i, y]))
+    order = np.concatenate(found, axis=1)
+    order = order[:, np.lexsort(order[::-1])]
+    root = {c: c for c in set(comp.tolist())}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    links = []
+    for _, i, j in order.T.tolist():
+        a, b = find(int(comp[i])), find(int(comp[j]))
+        if a != b and similar(sets[i], sets[j], percent):
+            root[max(a, b)] = min(a, b)
+            links.append((int(node[i]), int(node[j])))
+    return links
+
+
+def _across(buckets: DataFrame, first: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    Classes are grouped by the hub of their buckets. Those in the hub's own component form core
+    blocks, the others outer blocks, of bounded rows and shingles. Each outer block meets each core
+    block and each outer block in a task of its own; core blocks don't meet, as they are linked.
+    """
+    members = buckets.select("hub", "node", "n").distinct().join(first, "node", "left").select("hub", "node", "n", F.coalesce("component", "node").alias("comp"))
+    own = members.where("node = hub").select("hub", F.col("comp").alias("hub_comp"))
+    rest = members.where("node <> hub").join(own, "hub").withColumn("outer", F.col("comp") != F.col("hub_comp"))
 
+    def blocks(which):
+        rows, volume = F.count(F.when(which, 1)), F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+        return F.ceil(F.greatest(rows / F.lit(float(BLOCK)), volume / F.lit(float(BLOCK_SHINGLES)))).cast("int")
 
-def _candidates_across(members: DataFrame) -> DataFrame:
-    """`members` (band, pair, node, comp, side, hub, sketch), each (band, pair) a block pair of a bucket."""
+    sizes = rest.groupBy("hub").agg(blocks(~F.col("outer")).alias("cores"), blocks(F.col("outer")).alias("outers"), F.count("*").alias("rows")).where("outers > 0 and rows > 1")
+    placed = rest.join(sizes, "hub").withColumn("block", F.when(F.col("outer"), F.col("cores") + F.pmod(F.xxhash64("node"), "outers")).otherwise(F.pmod(F.xxhash64("node"), F.greatest("cores", F.lit(1)))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("outer"), 0).otherwise(F.col("cores")), F.col("cores") + F.col("outers") - 1)))
+    placed = placed.select("node", "hub", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "comp", "block")
+    dealt = placed.join(texts.withColumnRenamed("nid", "node"), "node").select("hub", "x", "y", "node", "comp", "block", "text")
 
     def run(batches):
         at, group = None, []
 
-        def out(emit):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in emit], pa.int64()), pa.array([x[1] for x in emit], pa.int64())], names=["a", "b"])
+        def out(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            emit: list = []
-            for band, pair, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (band, pair):
+            links: list = []
+            for hub, x, y, *row in zip(*(c.to_pylist() for c in batch.columns[:6]), texts_of(batch.column(6)), strict=True):
+                if at != (hub, x, y):
                     if len(group) > 1:
-                        _cross(group, emit)
-                    at, group = (band, pair), []
+                        links += _links_across(group, percent, width)
+                    at, group = (hub, x, y), []
                 group.append(row)
-            yield out(emit)
-        emit = []
-        if len(group) > 1:
-            _cross(group, emit)
-        yield out(emit)
+            yield out(links)
+        yield out(_links_across(group, percent, width) if len(group) > 1 else [])
 
-    return members.repartition("band", "pair").sortWithinPartitions("band", "pair").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,25 +241,18 @@ def near_duplicates(df: DataFrame, percent: int = 75, width: int = 5, id_col: st
     docs = docs.withColumn("nid", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text") % (1 << 62))))
     facts = materialize(_facts(docs, width), "facts")
     classes = materialize(
-        facts.where("n_shingles > 0").groupBy("set_key").agg(F.min("nid").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
+        facts.where("n_shingles > 0").groupBy("set_key").agg(F.min("nid").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     banded = classes.select("node", "n", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub.node <> last")
-    buckets = materialize(banded.join(hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "band"), "buckets")
+    hubs = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
+    buckets = materialize(banded.join(hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "band"), "buckets")
     texts = materialize(docs.select("nid", "text").join(buckets.select(F.col("node").alias("nid")).distinct(), "nid", "left_semi"), "texts")
 
     star = buckets.where("node <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialize(verify(star, texts, percent, width), "links")
     first = components(edges)
 
-    known = buckets.join(first, "node", "left").select("band", "node", "hub", "size", F.coalesce("component", "node").alias("comp"))
-    open_ = known.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high and members > 2").select("band")
-    blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
-    members = known.join(open_, "band").join(classes.select("node", "sketch"), "node").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.withColumn("pair", F.least("side", "other") * 1_000_000 + F.greatest("side", "other"))
-    across = materialize(_candidates_across(members.select("band", "pair", "node", "comp", "side", "hub", "sketch")), "across")
-    more = materialize(verify(across, texts, percent, width), "links")
+    more = materialize(_across(buckets, first, texts, percent, width), "links")
     linked = components(edges.union(more)) if more.take(1) else first
 
     reach = classes.join(linked, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component"))
