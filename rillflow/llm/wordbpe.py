@@ -1,8 +1,17 @@
-"""Ids of a `tokenizers` vocabulary whose text is split at white space, memoised by word."""
+"""Ids of a `tokenizers` vocabulary with word ends, memoised by word and by pre-token.
+
+The vocabulary's pattern drops white space and no match spans it, so the ids of a text are those of
+its words. Words are cut at ASCII white space only; other white space stays inside a word and is
+left to the library. A word of Latin-1 letters, digits and ASCII signs without an apostrophe is cut
+further, where the pattern would cut it: into runs of letters, single digits and runs of signs, all
+in lower case. Any other word (marks, other scripts, contractions, special strings) goes to the
+library whole.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -10,33 +19,62 @@ import numpy as np
 #: An id as it is written: little-endian, unsigned, 32 bits.
 ID = np.dtype("<u4")
 
+_LETTER = "a-zÀ-ÖØ-öø-ÿ"
+_SIGN = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTER}0-9{_SIGN}]+")
+_PIECE = re.compile(f"[{_LETTER}]+|[0-9]|[{_SIGN}]+")
+
 
 class WordIds:
     """Ids of whole texts as bytes of little-endian 32-bit integers.
 
-    The vocabulary's pattern drops white space and no match spans it, so the ids of a text are
-    those of its words. Words are cut at ASCII white space only; other white space stays inside
-    a word and is left to the library.
+    Either memo holds about `limit` entries (some 170 bytes each) and is then begun anew.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.limit, self.memo = limit, {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.limit, self.words, self.pieces = limit, {}, {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, ID).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pre-tokens, many in one text: the last id of each has a word end, and no other id has."""
+        for k in range(0, len(new), 500):
+            part = new[k : k + 500]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, ID)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                self.pieces.update(zip(part, self._whole(part), strict=True))
+                continue
+            raw, starts = ids.tobytes(), [0, *(stops[:-1] * ID.itemsize).tolist()]
+            self.pieces.update(zip(part, [raw[a:b] for a, b in zip(starts, (stops * ID.itemsize).tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        memo = self.memo
+        split = [t.split() for t in texts]
+        memo, pieces = self.words, self.pieces
         if len(memo) > self.limit:
             memo.clear()
-        new = list(set().union(*words).difference(memo)) if words else []
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            got = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            memo.update(zip(part, [np.array(e.ids, ID).tobytes() for e in got], strict=True))
-        return [b"".join(map(memo.__getitem__, w)) for w in words]
+        if len(pieces) > self.limit:
+            pieces.clear()
+        odd, plain = [], []
+        for word in set().union(*split).difference(memo) if split else ():
+            low = word.lower().decode("utf-8", "replace")
+            if "<|" not in low and _PLAIN.fullmatch(low):
+                plain.append((word, _PIECE.findall(low)))
+            else:
+                odd.append(word)
+        self._learn(list(set().union(*(p for _, p in plain)).difference(pieces)))
+        for word, parts in plain:
+            memo[word] = pieces[parts[0]] if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))
+        memo.update(zip(odd, self._whole([w.decode("utf-8", "replace") for w in odd]), strict=True))
+        return [b"".join(map(memo.__getitem__, w)) for w in split]
 
 
 @lru_cache(maxsize=2)
