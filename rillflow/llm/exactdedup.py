@@ -168,7 +168,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # owners take ranges of the key: its top bits
     ranged = _candidates(docs).withColumn("owner", F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * owners).cast("int"))
-    groups = ranged.repartition(owners, "owner").select("sha", "key", "points", "doc_id", "rows", "packed").mapInArrow(own, "sha binary, keep_id long, group_size long")
+    groups = ranged.repartitionById(owners, F.col("owner")).select("sha", "key", "points", "doc_id", "rows", "packed").mapInArrow(own, "sha binary, keep_id long, group_size long")
     white = "[ \\t\\n\\x0B\\f\\r]"
     facts = docs.select("doc_id", F.unhex(F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), white, ""), "UTF-8"), 256)).alias("sha"))
     out = facts.join(groups, "sha")

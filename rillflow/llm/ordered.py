@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def ranges_for(size: int, per_range: int) -> int:
@@ -12,4 +13,4 @@ def ranges_for(size: int, per_range: int) -> int:
 
 def in_order(df: DataFrame, ranges: int, *order: str) -> DataFrame:
     """`df` with all rows of a `bucket` in one task, sorted by bucket and `order`."""
-    return df.repartition(ranges, "bucket").sortWithinPartitions("bucket", *order)
+    return df.repartitionById(ranges, F.col("bucket")).sortWithinPartitions("bucket", *order)

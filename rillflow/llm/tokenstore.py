@@ -7,7 +7,7 @@ Recipes are written in ascending id order, one file for each id range, that ends
 root over its documents' roots; a manifest lists the files that finished tasks wrote.
 
 Pack file: "CPK1", then for each chunk digest (32 bytes), ids (u32), size (u32), and that many
-bytes: zstd of the ids as little-endian u32 by byte planes. Recipe file: "CRC1", then for each
+bytes: zstd of the ids as little-endian u16, or as u32 if one is larger. Recipe file: "CRC1", then for each
 document its id (i64, with a null flag), ids (u64), chunks (u32), Merkle root and digests; at last
 0xFFFFFFFF-marked the range's root.
 
@@ -39,7 +39,7 @@ from rillflow.llm.ordered import ranges_for
 from rillflow.llm.wordbpe import ID, word_ids
 
 #: Ids in the rolling window; least, mean (beyond the least) and most ids of a chunk.
-WINDOW, LEAST, MEAN, MOST = 8, 256, 1024, 8192
+WINDOW, LEAST, MEAN, MOST = 4, 256, 1024, 8192
 PACK_BYTES = 8_000_000
 
 
@@ -75,14 +75,20 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: An id below 65,536 as it is packed.
+SHORT = np.dtype("<u2")
+
+
 def pack_ids(ids: bytes, packer) -> bytes:
-    """zstd of the ids' byte planes."""
-    return packer.compress(np.frombuffer(ids, np.uint8).reshape(-1, ID.itemsize).T.tobytes())
+    """zstd of the ids, in two bytes each if they fit."""
+    values = np.frombuffer(ids, ID)
+    short = not len(values) or values.max() < 1 << 16
+    return packer.compress(values.astype(SHORT).tobytes() if short else ids)
 
 
 def unpack_ids(packed: bytes, n: int, unpacker) -> bytes:
-    raw = unpacker.decompress(packed, max_output_size=n * ID.itemsize) if n else b""
-    return np.frombuffer(raw, np.uint8).reshape(ID.itemsize, n).T.tobytes()
+    raw = unpacker.decompress(packed)
+    return np.frombuffer(raw, SHORT).astype(ID).tobytes() if len(raw) == n * SHORT.itemsize else raw
 
 
 def _times(matrix, vector: int) -> int:
@@ -199,7 +205,7 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(kinds)], names=names)
 
     dealt = docs.mapInArrow(cut, "owner int, chunk int, doc_id long, digest binary, n long, body binary")
-    placed = dealt.repartition(owners + 1, "owner", "chunk").sortWithinPartitions("owner", "chunk", "doc_id", "digest")
+    placed = dealt.repartitionById(2 * (owners + 1), F.col("owner") * 2 + F.col("chunk")).sortWithinPartitions("owner", "chunk", "doc_id", "digest")
     files = placed.mapInArrow(own_files, "kind string, bucket int, name string, entries long, ids long, root binary")
     files.write.option("compression", "zstd").parquet(f"{folder}/manifest")
     return folder

@@ -22,6 +22,7 @@ ID = np.dtype("<u4")
 _LETTER = "a-zÀ-ÖØ-öø-ÿ"
 _SIGN = r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTER}0-9{_SIGN}]+")
+_STOPS = (b",", b".")
 _PIECE = re.compile(f"[{_LETTER}]+|[0-9]|[{_SIGN}]+")
 
 
@@ -31,7 +32,7 @@ class WordIds:
     Either memo holds about `limit` entries (some 170 bytes each) and is then begun anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,6 +66,12 @@ class WordIds:
             pieces.clear()
         odd, plain = [], []
         for word in set().union(*split).difference(memo) if split else ():
+            if word.isalpha():  # of bytes: ASCII letters only
+                plain.append((word, (word.lower().decode(),)))
+                continue
+            if word[:-1].isalpha() and word[-1:] in _STOPS:
+                plain.append((word, (word[:-1].lower().decode(), word[-1:].decode())))
+                continue
             low = word.lower().decode("utf-8", "replace")
             if "<|" not in low and _PLAIN.fullmatch(low):
                 plain.append((word, _PIECE.findall(low)))
