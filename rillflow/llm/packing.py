@@ -81,9 +81,10 @@ def pack(df: DataFrame, capacity: int = 4096, group: int = 250_000) -> DataFrame
     small_batches(df.sparkSession, 10_000)
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = sum_of_squares(table.column("length").to_pylist(), capacity)
         first = TaskContext.get().partitionId() << 40
