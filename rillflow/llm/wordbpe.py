@@ -29,10 +29,11 @@ _PIECE = re.compile(f"[{_LETTER}]+|[0-9]|[{_SIGN}]+")
 class WordIds:
     """Ids of whole texts as bytes of little-endian 32-bit integers.
 
-    Either memo holds about `limit` entries (some 170 bytes each) and is then begun anew.
+    The memos hold about `limit` words and `pieces` pre-tokens (some 190 bytes each) and are then
+    begun anew.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_400_000, pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,7 +41,7 @@ class WordIds:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.limit, self.words, self.pieces = limit, {}, {}
+        self.limit, self.most, self.words, self.pieces = limit, pieces, {}, {}
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, ID).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
@@ -62,7 +63,7 @@ class WordIds:
         memo, pieces = self.words, self.pieces
         if len(memo) > self.limit:
             memo.clear()
-        if len(pieces) > self.limit:
+        if len(pieces) > self.most:
             pieces.clear()
         odd, plain = [], []
         for word in set().union(*split).difference(memo) if split else ():
