@@ -54,7 +54,8 @@ _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15
 _FACTORS = mix(np.arange(1001, 1065, dtype=_U)) | _U(1)
 _BAND_SALT = mix(np.arange(5001, 5001 + BANDS, dtype=_U))
 
-_words = Memo(xxhash.xxh3_64_intdigest, 400_000)
+#: Word hashes of the running task: emptied when it ends, so idle Python workers hold little memory.
+_words = Memo(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -115,6 +116,7 @@ def _facts(docs: DataFrame, width: int) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "nid", "n_shingles", "set_key", "bands"],
             )
+        _words.clear()
 
     return docs.select("doc_id", "nid", "text").mapInArrow(run, "doc_id long, nid long, n_shingles long, set_key binary, bands array<long>")
 
@@ -150,6 +152,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int = 5
                 elif any(similar(x, s, percent) for x in sets):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+        _words.clear()
 
     return hubs.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, "a long, b long")
 
@@ -229,6 +232,7 @@ def _across(buckets: DataFrame, first: DataFrame, texts: DataFrame, percent: int
                 group.append(row)
             yield out(links)
         yield out(_links_across(group, percent, width) if len(group) > 1 else [])
+        _words.clear()
 
     return dealt.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -54,13 +54,16 @@ def sum_of_squares(lengths, capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only where longer than `capacity`."""
+def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_400_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only where longer than `capacity`.
+
+    A Python worker remembers the ids of about `memo` words, some 190 bytes each; the rows don't depend on it.
+    """
     small_batches(df.sparkSession)
     end, width = np.array([end_id], ID).tobytes(), capacity * ID.itemsize
 
     def run(batches):
-        own = word_ids(tokenizer_path)
+        own = word_ids(tokenizer_path, memo)
         for b in batches:
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), own.encode(texts_of(b.column(1))), strict=True):
@@ -95,6 +98,6 @@ def pack(df: DataFrame, capacity: int = 4096, group: int = 250_000) -> DataFrame
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_400_000) -> DataFrame:
     """Every piece of every text with its place: see `pieces` and `pack`."""
-    return pack(pieces(df, tokenizer_path, end_id, capacity, id_col, text_col), capacity)
+    return pack(pieces(df, tokenizer_path, end_id, capacity, id_col, text_col, memo), capacity)

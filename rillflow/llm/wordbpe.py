@@ -85,6 +85,6 @@ class WordIds:
         return [b"".join(map(memo.__getitem__, w)) for w in split]
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+@lru_cache(maxsize=1)
+def word_ids(path: str, limit: int = 1_400_000) -> WordIds:
+    return WordIds(path, limit)
