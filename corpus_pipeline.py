@@ -32,8 +32,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token pieces with their places in sequences of 4096."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Every document's token pieces with their places in sequences of 4096.
+
+    The memo is smaller than the operator's own: here executors still hold the heap of earlier stages.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=500_000)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("best_fit_packing", best_fit_packing)]
