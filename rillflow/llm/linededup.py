@@ -59,8 +59,11 @@ def _ends(lines: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys that rows of two different lines have."""
-    return rows.groupBy(*keys).agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select(*keys)
+    """Keys that rows of two different lines have.
+
+    A table of its own, so that adaptive execution can broadcast it or split a hot key's rows.
+    """
+    return materialize(rows.groupBy(*keys).agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select(*keys), "shared")
 
 
 def _segments(lines: DataFrame) -> DataFrame:
@@ -108,7 +111,8 @@ def earliest(lines: DataFrame) -> DataFrame:
 def _dropped(keyed: DataFrame, min_chars: int) -> DataFrame:
     """k, th, dropped: the ascending line numbers that go, of each text that loses a line."""
     lines = _lines(keyed, min_chars)
-    known = earliest(lines)
+    # written first: a very common line's rows then need not meet in one task
+    known = materialize(earliest(lines), "earliest")
     gone = lines.select("k", "th", "line_no", "o", "h1", "h2").join(known, ["h1", "h2"]).where("o > t")
     return gone.select("k", "th", "line_no").groupBy("k", "th").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
