@@ -9,8 +9,8 @@ from rillflow.llm.common import materialize
 
 
 def _towards_minimum(pairs: DataFrame) -> DataFrame:
-    """(u, v) -> (u, v, m), m the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """(u, v) -> (u, v, m), m the least of u and all its v; written first, so a hub's join can be split."""
+    least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return pairs.join(least, "u")
 
 

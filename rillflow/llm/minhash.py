@@ -132,7 +132,8 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int = 5
     An `a` with many partners is copied once for every PARTNERS of them, so none of its partners
     wait for one task. Each text is read where its key is sorted, one hub in memory at a time.
     """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(PARTNERS))).alias("salts"))
+    pairs = materialize(pairs, "pairs")
+    salts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(PARTNERS))).alias("salts")), "salts")
     dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
     partners = dealt.join(texts.select(F.col("nid").alias("b"), "text"), "b").select("a", "salt", "b", "text")
     hubs = salts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
@@ -204,14 +205,15 @@ def _across(buckets: DataFrame, first: DataFrame, texts: DataFrame, percent: int
     """
     members = buckets.select("hub", "node", "n").distinct().join(first, "node", "left").select("hub", "node", "n", F.coalesce("component", "node").alias("comp"))
     own = members.where("node = hub").select("hub", F.col("comp").alias("hub_comp"))
-    rest = members.where("node <> hub").join(own, "hub").withColumn("outer", F.col("comp") != F.col("hub_comp"))
+    # tables of their own: adaptive execution splits a hub's rows only where both sides are plain shuffles
+    rest = materialize(members.where("node <> hub").join(own, "hub").withColumn("outer", F.col("comp") != F.col("hub_comp")), "members")
 
     def blocks(which):
         rows, volume = F.count(F.when(which, 1)), F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
         return F.ceil(F.greatest(rows / F.lit(float(BLOCK)), volume / F.lit(float(BLOCK_SHINGLES)))).cast("int")
 
     sizes = rest.groupBy("hub").agg(blocks(~F.col("outer")).alias("cores"), blocks(F.col("outer")).alias("outers"), F.count("*").alias("rows")).where("outers > 0 and rows > 1")
-    placed = rest.join(sizes, "hub").withColumn("block", F.when(F.col("outer"), F.col("cores") + F.pmod(F.xxhash64("node"), "outers")).otherwise(F.pmod(F.xxhash64("node"), F.greatest("cores", F.lit(1)))).cast("int"))
+    placed = rest.join(materialize(sizes, "sizes"), "hub").withColumn("block", F.when(F.col("outer"), F.col("cores") + F.pmod(F.xxhash64("node"), "outers")).otherwise(F.pmod(F.xxhash64("node"), F.greatest("cores", F.lit(1)))).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("outer"), 0).otherwise(F.col("cores")), F.col("cores") + F.col("outers") - 1)))
     placed = placed.select("node", "hub", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "comp", "block")
     dealt = placed.join(texts.withColumnRenamed("nid", "node"), "node").select("hub", "x", "y", "node", "comp", "block", "text")
@@ -249,7 +251,8 @@ def near_duplicates(df: DataFrame, percent: int = 75, width: int = 5, id_col: st
     )
     banded = classes.select("node", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
-    buckets = materialize(banded.join(hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "band"), "buckets")
+    hubs = materialize(hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    buckets = materialize(banded.join(hubs, "band"), "buckets")
     texts = materialize(docs.select("nid", "text").join(buckets.select(F.col("node").alias("nid")).distinct(), "nid", "left_semi"), "texts")
 
     star = buckets.where("node <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -260,7 +263,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, width: int = 5, id_col: st
     linked = components(edges.union(more)) if more.take(1) else first
 
     reach = classes.join(linked, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component"))
-    least = reach.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = materialize(reach.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     reach = reach.join(least, "component").select("set_key", "component_id")
     out = facts.select("doc_id", "n_shingles", "set_key").join(reach, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
