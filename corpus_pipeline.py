@@ -21,8 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stood earlier; those of which nothing is left go."""
-    return linededup.dedup_lines(docs, size_col="n_chars" if "n_chars" in docs.columns else None)
+    """Documents without the lines that stood earlier; those of which nothing is left go.
+
+    Exact copies go at every length from one character, which op8's SQL leaves below 24.
+    """
+    return linededup.dedup_lines(docs, size_col="n_chars" if "n_chars" in docs.columns else None, exact_chars=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A line is dropped when an earlier line of the corpus (by document id, then line number), dropped
 itself or not, is within one edit: equal, or one character inserted, deleted or substituted. Lines
-are compared without white space at their ends; lines of fewer than `min_chars` characters always
-stay.
+are compared without white space at their ends. Lines of fewer than `min_chars` characters, of which
+one edit is a large share, go only as exact copies, and those of fewer than `exact_chars` (if not
+given: `min_chars`) always stay, as blank lines do.
 
 Two lines are within one edit exactly when a deletion variant of one, without the character at
 position p, equals the other line, or equals the other's variant without its character at p.
@@ -41,21 +42,21 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.split(text_col, "\n").alias("lines"))
 
 
-def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
+def _lines(keyed: DataFrame, least_chars: int) -> DataFrame:
     """k, th, line_no, o (place in the corpus), form, size, h1, h2 of every line that is compared."""
     one = keyed.select("k", "th", F.posexplode("lines").alias("line_no", "line"))
-    one = one.select("k", "th", "line_no", F.btrim("line", F.lit(" \t\r")).alias("form")).where(F.char_length("form") >= min_chars)
+    one = one.select("k", "th", "line_no", F.btrim("line", F.lit(" \t\r")).alias("form")).where(F.char_length("form") >= max(least_chars, 1))
     place = (F.col("k").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")).cast(_ORDER)
     return one.select("k", "th", "line_no", place.alias("o"), "form", F.char_length("form").alias("size"), F.xxhash64("form").alias("h1"), F.xxhash64(F.lit(1), "form").alias("h2"))
 
 
-def _ends(lines: DataFrame) -> DataFrame:
-    """One row for each distinct line: h1, h2, o (the earliest), n, and the hashed ends."""
+def _ends(lines: DataFrame, min_chars: int) -> DataFrame:
+    """One row for each distinct line: h1, h2, o (the earliest), n, and the hashed ends, null below `min_chars`."""
     out = lines.withColumn("p", F.expr("shiftleft(1, length(bin(size)) - 2)")).withColumn("q", F.expr("shiftleft(1, length(bin(size + 1)) - 2)"))
     ends = [F.xxhash64(F.lit(side), F.col(w), F.left("form", F.col(w)) if side == "first" else F.right("form", F.col(w))) for w in ("p", "q") for side in ("first", "last")]
     # at the size before a power of two the line has ends of both widths
     keys = F.when(F.col("p") == F.col("q"), F.array(*ends[:2])).otherwise(F.array(*ends))
-    return out.withColumn("ends", keys).groupBy("h1", "h2").agg(F.min("o").alias("o"), F.count("*").alias("n"), F.first("ends").alias("ends"))
+    return out.withColumn("ends", F.when(F.col("size") >= min_chars, keys)).groupBy("h1", "h2").agg(F.min("o").alias("o"), F.count("*").alias("n"), F.first("ends").alias("ends"))
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -87,9 +88,9 @@ def _variants(segments: DataFrame) -> DataFrame:
     return rows.select("h1", "h2", "o", "p", F.xxhash64("s1", "s2", variant).alias("v1"), F.xxhash64("s2", variant, "s1").alias("v2"))
 
 
-def earliest(lines: DataFrame) -> DataFrame:
+def earliest(lines: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2, t: of every line that has an earlier copy or neighbour, the earliest place of one."""
-    distinct = materialize(_ends(lines.select("o", "form", "size", "h1", "h2")), "lines")
+    distinct = materialize(_ends(lines.select("o", "form", "size", "h1", "h2"), min_chars), "lines")
     ends = distinct.select("h1", "h2", F.explode("ends").alias("end"))
     with_partner = ends.join(_shared(ends, "end"), "end").select("h1", "h2").distinct()
     chosen = distinct.select("h1", "h2", "o").join(with_partner, ["h1", "h2"])
@@ -108,29 +109,29 @@ def earliest(lines: DataFrame) -> DataFrame:
     return distinct.select("h1", "h2", "o", "n").join(near, ["h1", "h2"], "left").where("n > 1 or t is not null").select("h1", "h2", F.least("o", "t").alias("t"))
 
 
-def _dropped(keyed: DataFrame, min_chars: int) -> DataFrame:
+def _dropped(keyed: DataFrame, min_chars: int, exact_chars: int | None) -> DataFrame:
     """k, th, dropped: the ascending line numbers that go, of each text that loses a line."""
-    lines = _lines(keyed, min_chars)
+    lines = _lines(keyed, min_chars if exact_chars is None else min(exact_chars, min_chars))
     # written first: a very common line's rows then need not meet in one task
-    known = materialize(earliest(lines), "earliest")
+    known = materialize(earliest(lines, min_chars), "earliest")
     gone = lines.select("k", "th", "line_no", "o", "h1", "h2").join(known, ["h1", "h2"]).where("o > t")
     return gone.select("k", "th", "line_no").groupBy("k", "th").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def line_report(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped_lines (comma-joined numbers from 0) of every row of `df`."""
     keyed = _keyed(df, id_col, text_col)
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = rows.join(_dropped(keyed, min_chars), ["k", "th"], "left")
+    out = rows.join(_dropped(keyed, min_chars, exact_chars), ["k", "th"], "left")
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped_lines"))
 
 
-def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, exact_chars: int | None = None) -> DataFrame:
     """`df` with repeated lines taken out of its texts; rows all of whose filled lines went are left out.
 
     `size_col`, if given, gets the code points of the new text.
     """
-    dropped = _dropped(_keyed(df, id_col, text_col), min_chars).toDF("__k", "__th", "__dropped")
+    dropped = _dropped(_keyed(df, id_col, text_col), min_chars, exact_chars).toDF("__k", "__th", "__dropped")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     rows = df.withColumn("__k", key).withColumn("__th", F.xxhash64(text_col)).join(dropped, ["__k", "__th"], "left")
     lines = F.split(text_col, "\n")

@@ -216,6 +216,19 @@ def test_line_dedup_against_brute_force(spark, odd, empty):
     assert linededup.line_report(empty).count() == 0
 
 
+def test_short_lines_go_as_exact_copies(spark):
+    import corpus_pipeline
+
+    near = "a line of twenty-five char"
+    rows = [(1, f"Les.\n\nx\n{near}"), (2, f" Les.\t\nLes\n\nx\n{near}s"), (3, "Les.\nx"), (4, "Les.\nLez.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    short = {r["doc_id"]: r["dropped_lines"] for r in linededup.line_report(df, exact_chars=1).collect()}
+    assert short == {1: "", 2: "0,3,4", 3: "0,1", 4: "0"}
+    assert {r["doc_id"]: r["dropped_lines"] for r in linededup.line_report(df).collect()} == {1: "", 2: "4", 3: "", 4: ""}
+    # the pipeline's stage drops them; document 3 has nothing left
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, SF).collect()} == {1: rows[0][1], 2: "Les\n", 4: "Lez."}
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs.where(~queries.held_out()))
