@@ -8,6 +8,8 @@ Reading: each member is decompressed and its record checked (CRC, version line,
 block digest). When a check fails, the reader searches for the next valid member (or, in an archive
 that isn't compressed, the next valid version line), goes on from there, and logs the gap as
 quarantined: file, first and last byte, reason. Files have a bounded size, and one is read at a time.
+`read_archives` writes the gaps of its pass to the folder's quarantine table, with the number of records
+that the manifest has and the archive hasn't; an archive that only lost its end has a row there too.
 
 Defined results: a null html is an empty payload; repeated rows give a record each
 (responses all, if theirs is the largest id); rows with a null id are written, and count below all
@@ -23,6 +25,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ VERSION = b"WARC/1.1"
 #: Of a revisit, as the payload isn't there: the length of the full one.
 FULL_LENGTH = "X-Full-Payload-Length"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+GAPS = "path string, start long, stop long, reason string, missing long"
 KINDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -191,18 +195,29 @@ def write_archives(df: DataFrame, least: int = 0, id_col: str = "page_id", url_c
     return folder
 
 
-def _contents(spark: SparkSession, folder: str) -> DataFrame | None:
-    small_batches(spark, 500)
-    names = [r["name"] for r in spark.read.schema("name string, records long, bytes long").parquet(f"{folder}/manifest").collect()]
-    return spark.read.format("binaryFile").load([f"{folder}/archives/{n}" for n in names]).select("path", "content") if names else None
+def _manifest(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Records of each archive, by its name."""
+    return {r["name"]: r["records"] for r in spark.read.schema("name string, records long, bytes long").parquet(f"{folder}/manifest").collect()}
+
 
+def _quarantine(folder: str, path: str, gaps: list[tuple[int, int, str]], size: int, missing: int) -> None:
+    """Write an archive's gaps; a repeated task writes the same file again."""
+    rows = [(path, *gap, missing) for gap in gaps or [(size, size, "the manifest has another count, and no gap is seen")]]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+    with create_file(f"{folder}/quarantine/{path.rpartition('/')[2]}.parquet") as f:
+        pq.write_table(pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in GAPS.split(", ")]), f)
 
-def _read(files: DataFrame, with_payload: bool) -> DataFrame:
+
+def _read(files: DataFrame, with_payload: bool, folder: str, counts: dict[str, int]) -> DataFrame:
     def run(batches):
         for b in batches:
-            for body in b.column(1).to_pylist():
+            for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = []
-                for r in salvage(body)[0]:
+                records, gaps = salvage(body)
+                missing = counts[path.rpartition("/")[2]] - len(records)
+                if gaps or missing:
+                    _quarantine(folder, path, gaps, len(body), missing)
+                for r in records:
                     payload = r["block"].partition(b"\r\n\r\n")[2]
                     kind = r.get("warc-type", "")
                     size = len(payload) if kind == "response" else int(r.get(FULL_LENGTH.lower(), 0))
@@ -220,9 +235,22 @@ def _read(files: DataFrame, with_payload: bool) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of every record."""
-    files = _contents(spark, folder)
-    return spark.createDataFrame([], KINDS) if files is None else _read(files, with_payload)
+    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of every record.
+
+    What can't be read is in `quarantine(spark, folder)` once the rows have been computed.
+    """
+    small_batches(spark, 500)
+    counts = _manifest(spark, folder)
+    spark.createDataFrame([], GAPS).write.mode("overwrite").parquet(f"{folder}/quarantine")
+    if not counts:
+        return spark.createDataFrame([], KINDS)
+    files = spark.read.format("binaryFile").load([f"{folder}/archives/{n}" for n in counts]).select("path", "content")
+    return _read(files, with_payload, folder, counts)
+
+
+def quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """path, start, stop, reason, missing (records that the archive lacks by the manifest) of the last read's gaps."""
+    return spark.read.schema(GAPS).parquet(f"{folder}/quarantine")
 
 
 def quarantined(files: DataFrame) -> DataFrame:

@@ -274,6 +274,30 @@ def test_warc_round_trip_and_salvage(spark):
     assert warc.quarantined(files).count() == 1
 
 
+def test_warc_read_quarantines_what_is_missing(spark):
+    from pathlib import Path
+
+    df = spark.createDataFrame([(i, "u", f"<b>{i}</b>" * 40) for i in range(9)], "page_id long, url string, html string")
+    folder = warc.write_archives(df)
+    assert warc.read_archives(spark, folder).count() == 9 and warc.quarantine(spark, folder).count() == 0
+    file = max(Path(folder.removeprefix("file://"), "archives").glob("*.gz"), key=lambda f: f.stat().st_size)
+    whole = file.read_bytes()
+    n, first = len(warc.salvage(whole)[0]), warc._inflate(whole, 0)[1]
+
+    def read(data):
+        # a new file: the old one's checksum no longer fits
+        for f in (file, file.with_name(f".{file.name}.crc")):
+            f.unlink(missing_ok=True)
+        file.write_bytes(data)
+        count = len(warc.read_archives(spark, folder).collect())
+        return count, [(r["start"], r["stop"], r["missing"]) for r in warc.quarantine(spark, folder).collect()]
+
+    assert read(whole[:30] + b"\0" * 10 + whole[40:]) == (8, [(0, first, 1)])
+    # cut at a member's edge: no gap in the bytes
+    assert n > 1 and read(whole[:first]) == (10 - n, [(first, first, n - 1)])
+    assert read(whole) == (9, [])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
