@@ -106,51 +106,82 @@ def _parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return head | {"block": block}, stop + 8 + size
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member that begins at `at`, with its end; raises Damaged."""
-    d, raw = zlib.decompressobj(31), []
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member that begins at `at` yields, its end, and why it is damaged ("" if it isn't)."""
+    d, raw, begin = zlib.decompressobj(31), [], at
     while not d.eof:
         part = data[at : at + (1 << 16)]
         if not part:
-            raise Damaged("gzip: the member is cut off")
+            return b"".join(raw), at, "gzip: the member is cut off"
         try:
             raw.append(d.decompress(part))
         except zlib.error as e:
-            raise Damaged(f"gzip: {e}"[:80]) from None
+            return _until_error(data, begin, at, len(part)), at, f"gzip: {e}"[:80]
         at += len(part)
-    return b"".join(raw), at - len(d.unused_data)
+    return b"".join(raw), at - len(d.unused_data), ""
 
 
-def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """Records of an archive's bytes, and its quarantined gaps (first byte, byte after, reason)."""
-    records, gaps = [], []
-    zipped = data[:2] == b"\x1f\x8b" or VERSION[:7] not in data[:1024] and b"\x1f\x8b\x08" in data
-    magic = b"\x1f\x8b\x08" if zipped else VERSION[:7]
-    at, bad, why = 0, None, ""
+def _until_error(data: bytes, begin: int, at: int, size: int) -> bytes:
+    """The member's bytes before the error, which a failing call of zlib doesn't return."""
+    d = zlib.decompressobj(31)
+    raw = [d.decompress(data[begin:at])]
+    try:
+        for k in range(at, at + size):
+            raw.append(d.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(raw)
+
+
+def _records(data: bytes, digested: bool = False) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """Records of inflated bytes and the gaps between them; if `digested`, only those with a block digest."""
+    records, gaps, at, bad, why = [], [], 0, None, ""
     while at < len(data):
         try:
-            if zipped:
-                raw, after = _inflate(data, at)
-                found, used = [], 0
-                while used < len(raw):
-                    one, used = _parse(raw, used)
-                    found.append(one)
-                if not found:
-                    raise Damaged("an empty member")
-            else:
-                one, after = _parse(data, at)
-                found = [one]
+            one, after = _parse(data, at)
+            if digested and "warc-block-digest" not in one:
+                raise Damaged("no block digest in a damaged member")
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            at = data.find(magic, at + 1)
+            at = data.find(VERSION[:7], at + 1)
             if at < 0:
                 break
             continue
         if bad is not None:
             gaps.append((bad, at, why))
             bad = None
+        records.append(one)
+        at = after
+    if bad is not None:
+        gaps.append((bad, len(data), why))
+    return records, gaps
+
+
+def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """Records of an archive's bytes, and its quarantined gaps (first byte, byte after, reason).
+
+    A gap within an intact gzip member is given as the member, with the inflated bytes in the reason.
+    """
+    magic = b"\x1f\x8b\x08"
+    if not (data[:2] == magic[:2] or VERSION[:7] not in data[:1024] and magic in data):
+        return _records(data)
+    records, gaps, at, bad, why = [], [], 0, None, ""
+    while at < len(data):
+        raw, after, error = _inflate(data, at)
+        found, holes = _records(raw, bool(error))
         records += found
+        if error or not raw:
+            if bad is None:
+                bad, why = at, error or "an empty member"
+            at = data.find(magic, at + 1)
+            if at < 0:
+                break
+            continue
+        if bad is not None:
+            gaps.append((bad, at, why))
+            bad = None
+        gaps += [(at, after, f"{reason} (inflated bytes {a} to {b})") for a, b, reason in holes]
         at = after
     if bad is not None:
         gaps.append((bad, len(data), why))

@@ -274,6 +274,21 @@ def test_warc_round_trip_and_salvage(spark):
     assert warc.quarantined(files).count() == 1
 
 
+def test_warc_salvage_within_a_member():
+    parts = [warc.record(i, "u", hashlib.sha256(b"%d" % i).hexdigest().encode() * 9) for i in range(5)]
+    ids = lambda data: [warc._page(r["warc-record-id"]) for r in warc.salvage(data)[0]]
+    inside = bytearray(b"".join(parts))
+    inside[len(parts[0]) + len(parts[1]) - 40] ^= 1
+    data = warc.member(bytes(inside))
+    assert ids(data) == [0, 2, 3, 4] and [g[:2] for g in warc.salvage(data)[1]] == [(0, len(data))]
+    whole = warc.member(b"".join(parts))
+    last = warc.member(warc.record(9, "u", b"x"))
+    crc = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert ids(crc + last) == [0, 1, 2, 3, 4, 9] and warc.salvage(crc + last)[1][0][:2] == (0, len(crc))
+    cut = ids(whole[: len(whole) * 3 // 4])
+    assert 0 < len(cut) < 5 and cut == list(range(len(cut)))
+
+
 def test_warc_read_quarantines_what_is_missing(spark):
     from pathlib import Path
 
