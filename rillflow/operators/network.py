@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.operators.lineage import Rounds, written
 from rillflow.operators.raster import Grid
 
 #: Direction codes around a cell, from the top left.
@@ -36,62 +36,103 @@ def upstream(edge: DataFrame) -> DataFrame:
     return edge.where("down >= 0").groupBy(F.col("down").alias("cell")).agg(F.sort_array(F.collect_list("cell")).alias("ups"))
 
 
-def _recursive(sql: str, **tables: DataFrame) -> DataFrame:
-    """A recursive query over tables named in braces."""
-    spark = next(iter(tables.values())).sparkSession
-    names = {k: f"t_{uuid.uuid4().hex}" for k in tables}
-    for k, df in tables.items():
-        df.createOrReplaceTempView(names[k])
-    return spark.sql(sql.format(**names))
+def _length(grid: Grid, a: Column, b: Column) -> Column:
+    return F.when(F.abs(a - b).isin(1, grid.ncols), 1.0).otherwise(math.sqrt(2))
 
 
-def _length(grid: Grid, a: str, b: str) -> str:
-    return f"CASE WHEN abs({a} - {b}) IN (1, {grid.ncols}) THEN 1e0 ELSE {math.sqrt(2)!r}e0 END"
+def _reaching(edge: DataFrame, outlet: int, stops: list[int], grid: Grid | None = None) -> DataFrame:
+    """cell, length of the way of every cell that drains to the outlet, itself left out, and not through `stops`.
 
-
-def area(edge: DataFrame, outlet: int, inlets: list[int] = (), levels: int = 1000) -> DataFrame:
+    Each round doubles every cell's pointer, so their number is the logarithm of the longest way.
+    Cells that circle never reach the outlet.
+    """
+    length = _length(grid, F.col("cell"), F.col("down")) if grid else F.lit(0.0)
+    state = Rounds(edge.where(F.col("down") >= 0).where(~F.col("cell").isin(outlet, *stops)).select("cell", F.col("down").alias("to"), length.alias("length")), "ways")
+    steps, cells = 1, state.now.count()
+    while steps <= cells and not (active := state.now.where(F.col("to") != outlet)).isEmpty():
+        jump = state.now.select(F.col("cell").alias("to"), F.col("to").alias("next"), F.col("length").alias("more"))
+        further = active.join(jump, "to").select("cell", F.col("next").alias("to"), (F.col("length") + F.col("more")).alias("length"))
+        state.step(state.now.where(F.col("to") == outlet).union(further))
+        steps *= 2
+    return state.now.where(F.col("to") == outlet).select("cell", "length")
+
+
+def area(edge: DataFrame, outlet: int, inlets: list[int] = ()) -> DataFrame:
     """cell: all that drains to the outlet, itself included, not beyond inlets; none for a cell that nothing drains to."""
-    stop = ", ".join(map(str, [-9, *inlets]))
-    sql = f"""WITH RECURSIVE a(cell) MAX RECURSION LEVEL {levels} AS (
-        SELECT CAST({outlet} AS BIGINT) UNION ALL SELECT e.cell FROM a JOIN {{e}} e ON e.down = a.cell WHERE e.cell NOT IN ({stop}))
-        SELECT cell FROM a WHERE EXISTS (SELECT 1 FROM {{e}} e WHERE e.down = {outlet} AND e.cell NOT IN ({stop}))"""
-    return _recursive(sql, e=edge)
+    above = _reaching(edge, outlet, [*inlets]).select("cell")
+    return above.union(above.limit(1).select(F.lit(outlet).cast("bigint").alias("cell")))
 
 
-def path_lengths(edge: DataFrame, outlet: int, grid: Grid, levels: int = 1000) -> DataFrame:
+def path_lengths(edge: DataFrame, outlet: int, grid: Grid) -> DataFrame:
     """start, stop, length of the flow path of every cell of an outlet's area; the outlet's own has length 0."""
-    sql = f"""WITH RECURSIVE a(start, length) MAX RECURSION LEVEL {levels} AS (
-        SELECT CAST({outlet} AS BIGINT), CAST(0 AS DOUBLE)
-        UNION ALL SELECT e.cell, a.length + {_length(grid, "e.cell", "e.down")} FROM a JOIN {{e}} e ON e.down = a.start)
-        SELECT start, CASE WHEN start = {outlet} THEN (SELECT max(down) FROM {{e}} WHERE cell = {outlet}) ELSE {outlet} END AS stop, length FROM a"""
-    return _recursive(sql, e=edge)
-
-
-def river(edge: DataFrame, start: int, grid: Grid, levels: int = 1000) -> DataFrame:
-    """step, cell, dist, dx, dy, x, y of the way down from a cell; dx and dy are up minus down."""
-    n = grid.ncols
-    sql = f"""WITH RECURSIVE r(step, cell, dist, dx, dy) MAX RECURSION LEVEL {levels} AS (
-        SELECT 0, CAST({start} AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
-        UNION ALL SELECT r.step + 1, e.down, r.dist + {_length(grid, "e.cell", "e.down")}, e.cell % {n} - e.down % {n}, CAST(floor(e.cell / {n}) - floor(e.down / {n}) AS BIGINT)
-        FROM r JOIN {{e}} e ON e.cell = r.cell WHERE e.down >= 0)
-        SELECT * FROM r"""
-    out = _recursive(sql, e=edge)
-    return out.select("step", "cell", "dist", "dx", "dy", grid.x(F.col("cell")).alias("x"), grid.y(F.col("cell")).alias("y"))
+    ways = _reaching(edge, outlet, [], grid).select(F.col("cell").alias("start"), F.lit(outlet).cast("bigint").alias("stop"), "length")
+    own = edge.where(F.col("cell") == outlet).agg(F.max("down").alias("stop"))
+    return ways.union(own.select(F.lit(outlet).cast("bigint"), "stop", F.lit(0.0)))
 
 
-def accumulate(edge: DataFrame, field: DataFrame, levels: int = 1000, receiver: bool = True) -> DataFrame:
-    """cell, value: what drains to each cell that drains on.
+def river(edge: DataFrame, start: int, grid: Grid) -> DataFrame:
+    """step, cell, dist, dx, dy, x, y of the way down from a cell; dx and dy are up minus down.
 
-    With `receiver` every cell above adds the receiving cell's own value, else its own.
+    Each round doubles every cell's pointer and with it the known part of the way.
+    """
+    spark, n = edge.sparkSession, grid.ncols
+    pointers = Rounds(edge.where("down >= 0").select("cell", F.col("down").alias("to"), F.col("cell").alias("before"), _length(grid, F.col("cell"), F.col("down")).alias("length")), "pointers")
+    way = Rounds(spark.createDataFrame([(start, 0, 0.0, start)], "cell bigint, step int, dist double, before bigint"), "way")
+    steps, cells = 1, pointers.now.count()
+    while True:
+        more = way.now.drop("before").join(pointers.now.where("to is not null"), "cell")
+        if more.isEmpty():
+            break
+        if steps > cells:
+            raise ValueError("the way down goes in a circle")
+        way.step(way.now.union(more.select("to", (F.col("step") + steps).cast("int"), F.col("dist") + F.col("length"), "before")))
+        jump = pointers.now.select(F.col("cell").alias("to"), F.col("to").alias("next"), F.col("before").alias("last"), F.col("length").alias("rest"))
+        pointers.step(pointers.now.join(jump, "to", "left").select("cell", F.col("next").alias("to"), F.col("last").alias("before"), (F.col("length") + F.col("rest")).alias("length")))
+        steps *= 2
+    dx, dy = F.col("before") % n - F.col("cell") % n, F.floor(F.col("before") / n) - F.floor(F.col("cell") / n)
+    return way.now.select("step", "cell", "dist", dx.alias("dx"), dy.alias("dy"), grid.x(F.col("cell")).alias("x"), grid.y(F.col("cell")).alias("y"))
+
+
+def accumulate(edge: DataFrame, field: DataFrame, receiver: bool = True, max_accumulated_cells: int = -1) -> DataFrame:
+    """cell, value: what drains to each cell that drains on, its own value included.
+
+    With `receiver` every cell above adds the receiving cell's own value, else its own. Only cells up
+    to `max_accumulated_cells` + 1 steps above add, if that isn't -1. Round k holds the sums of all
+    cells less than 2^k steps above and pointers 2^k steps down, so a row per cell and a number of
+    rounds that is the logarithm of the longest way. Raises on a circle, if no such bound ends it.
     """
-    sql = f"""WITH RECURSIVE w(origin, cell) MAX RECURSION LEVEL {levels} AS (
-        SELECT cell, cell FROM {{e}} WHERE down >= 0
-        UNION ALL SELECT w.origin, e.down FROM w JOIN {{e}} e ON e.cell = w.cell WHERE e.down >= 0)
-        SELECT origin, cell FROM w"""
-    walks = _recursive(sql, e=edge)
-    on = "cell" if receiver else "origin"
-    sums = walks.join(field.select(F.col("cell").alias(on), "value"), on).groupBy("cell").agg(F.sum("value").alias("value"))
-    return sums.join(edge.where("down >= 0").select("cell"), "cell", "left_semi")
+    if max_accumulated_cells != -1 and max_accumulated_cells < 1:
+        raise ValueError("max_accumulated_cells must be -1 or at least 1")
+    own = edge.where("down >= 0").select("cell", "down")
+    to = own.join(own.select(F.col("cell").alias("down"), F.lit(True).alias("on")), "down", "left").select("cell", F.when(F.col("on"), F.col("down")).alias("to"))
+    total = F.lit(1.0) if receiver else F.coalesce(F.col("value").cast("double"), F.lit(0.0))
+    state = Rounds(to.join(field, "cell").select("cell", "to", total.alias("total")), "sums")
+    reach = max_accumulated_cells + 2 if max_accumulated_cells != -1 else 0
+    done, k, cells = None, 0, state.now.count()
+
+    def gained(totals):
+        """The cells' sums and, 2^k steps further, those of `totals` (cell, total)."""
+        up = state.now.select("cell", "to").where("to is not null").join(totals.select("cell", "total"), "cell")
+        more = up.groupBy(F.col("to").alias("cell")).agg(F.sum("total").alias("more"))
+        return state.now.join(more, "cell", "left").select("cell", "to", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
+
+    while True:
+        if reach >> k & 1:
+            done = written(gained(done).select("cell", "total") if done else state.now.select("cell", "total"), "sums")[0]
+        if reach and not reach >> (k + 1):
+            break
+        if state.now.where("to is not null").isEmpty():
+            done = state.now
+            break
+        if not reach and 1 << k > cells:
+            raise ValueError("the network has a circle")
+        summed = gained(state.now)
+        jump = state.now.select(F.col("cell").alias("to"), F.col("to").alias("next"))
+        state.step(summed.join(jump, "to", "left").select("cell", F.col("next").alias("to"), "total"))
+        k += 1
+    if not receiver:
+        return done.select("cell", F.col("total").alias("value"))
+    return done.join(field, "cell").select("cell", (F.col("total") * F.col("value")).alias("value"))
 
 
 def filled(cells: DataFrame, grid: Grid) -> DataFrame:

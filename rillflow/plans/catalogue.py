@@ -114,10 +114,17 @@ def _(t, spark):
     return resample.monthly_to_daily(m, "m", "v", ["o_orderpriority"], 1.0).withColumn("day", F.col("day").cast("string"))
 
 
-@query("monthly_to_daily_cubic")
+@query("monthly_to_daily_cubic", f"""WITH RECURSIVE m AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate)::DATE AS m, CASE WHEN month(any_value(o_orderdate)) <> 4 THEN sum(v) END AS v FROM {_ORDERS} GROUP BY o_orderpriority, date_trunc('month', o_orderdate)),
+    x AS (SELECT p, m, day(last_day(m)) AS n, coalesce(v, -1) AS t, coalesce(v, -1) / day(last_day(m)) AS u, row_number() OVER (PARTITION BY p ORDER BY m) AS i FROM m),
+    y AS MATERIALIZED (SELECT *, lead(u) OVER w AS u1, lead(u, 2) OVER w AS u2 FROM x WINDOW w AS (PARTITION BY p ORDER BY i)),
+    s(p, i, d) AS (SELECT p, i, u FROM y WHERE i = 1 UNION ALL SELECT s.p, s.i + 1, 0.75 * (u + u1) - 0.25 * (d + coalesce((u1 + u2) / 2, u1)) FROM s JOIN y ON y.p = s.p AND y.i = s.i WHERE u1 IS NOT NULL),
+    c AS (SELECT y.*, n * d AS a, n * coalesce(lead(d) OVER (PARTITION BY y.p ORDER BY y.i), u) AS b FROM y JOIN s ON s.p = y.p AND s.i = y.i),
+    k AS (SELECT *, unnest(range(n)) AS k FROM c), z AS (SELECT *, k / n AS x0, (k + 1) / n AS x1 FROM k)
+    SELECT p AS o_orderpriority, CAST(m + k::INTEGER AS VARCHAR) AS day, {r('a * (x1 - x0) + (3 * t - 2 * a - b) * (x1 ^ 2 - x0 ^ 2) + (a + b - 2 * t) * (x1 ^ 3 - x0 ^ 3)')} AS v FROM z""")
 def _(t, spark):
     m = _orders(t).groupBy("o_orderpriority", F.trunc("o_orderdate", "month").alias("m")).agg(F.sum("v").alias("v"))
-    return resample.monthly_to_daily_cubic(m, "m", "v", ["o_orderpriority"])
+    m = m.withColumn("v", F.when(F.month("m") != 4, F.col("v")))  # every April is missing
+    return resample.monthly_to_daily_cubic(m, "m", "v", ["o_orderpriority"]).withColumn("day", F.col("day").cast("string"))
 
 
 def _regular(rain: bool) -> str:
@@ -475,7 +482,7 @@ _CODE = "CASE WHEN cell * 7919 % 97 % 8 < 2 THEN 1 WHEN cell * 7919 % 97 % 8 < 4
 _EDGES = f"""(SELECT cell, code, CASE WHEN code = 1 THEN CASE WHEN cell % 40 < 39 THEN cell + 1 ELSE -1 END WHEN cell // 40 = 39 THEN -1 WHEN code = 4 THEN cell + 40 WHEN code = 2 THEN CASE WHEN cell % 40 < 39 THEN cell + 41 ELSE -1 END ELSE CASE WHEN cell % 40 > 0 THEN cell + 39 ELSE -1 END END AS down
     FROM (SELECT cell, {_CODE} AS code FROM (SELECT range AS cell FROM range({_N}))))"""
 OUTLET = 1541
-_AREA = f"a(cell, len) AS (SELECT {OUTLET}::BIGINT, 0e0 UNION ALL SELECT e.cell, a.len + CASE WHEN abs(e.cell - e.down) IN (1, 40) THEN 1 ELSE sqrt(2) END FROM a JOIN {_EDGES} e ON e.down = a.cell)"
+_AREA = f"e AS MATERIALIZED {_EDGES}, a(cell, len) AS (SELECT {OUTLET}::BIGINT, 0e0 UNION ALL SELECT e.cell, a.len + CASE WHEN abs(e.cell - e.down) IN (1, 40) THEN 1 ELSE sqrt(2) END FROM a JOIN e ON e.down = a.cell)"
 
 
 def _cells(spark) -> DataFrame:
@@ -537,20 +544,45 @@ def _(t, spark):
     return network.area(_edges(spark), OUTLET)
 
 
-@query("d8_paths", f"WITH RECURSIVE {_AREA} SELECT cell AS start, CASE WHEN cell = {OUTLET} THEN (SELECT down FROM {_EDGES} WHERE cell = {OUTLET}) ELSE {OUTLET} END AS stop, {r('len')} AS length FROM a")
+@query("d8_paths", f"WITH RECURSIVE {_AREA} SELECT cell AS start, CASE WHEN cell = {OUTLET} THEN (SELECT down FROM e WHERE cell = {OUTLET}) ELSE {OUTLET} END AS stop, {r('len')} AS length FROM a")
 def _(t, spark):
     return network.path_lengths(_edges(spark), OUTLET, G)
 
 
-@query("d8_river", f"WITH RECURSIVE v(step, cell, dist) AS (SELECT 0, 5::BIGINT, 0e0 UNION ALL SELECT step + 1, e.down, dist + CASE WHEN abs(e.cell - e.down) IN (1, 40) THEN 1 ELSE sqrt(2) END FROM v JOIN {_EDGES} e ON e.cell = v.cell WHERE e.down >= 0) SELECT step::INTEGER AS step, cell, {r('dist')} AS dist FROM v")
+@query("d8_river", f"WITH RECURSIVE e AS MATERIALIZED {_EDGES}, v(step, cell, dist) AS (SELECT 0, 5::BIGINT, 0e0 UNION ALL SELECT step + 1, e.down, dist + CASE WHEN abs(e.cell - e.down) IN (1, 40) THEN 1 ELSE sqrt(2) END FROM v JOIN e ON e.cell = v.cell WHERE e.down >= 0) SELECT step::INTEGER AS step, cell, {r('dist')} AS dist FROM v")
 def _(t, spark):
     return network.river(_edges(spark), 5, G).select("step", "cell", "dist")
 
 
-@query("d8_accumulate", f"WITH RECURSIVE e AS MATERIALIZED {_EDGES}, w(o, cell) AS (SELECT cell, cell FROM e WHERE down >= 0 UNION ALL SELECT w.o, e.down FROM w JOIN e ON e.cell = w.cell WHERE e.down >= 0) SELECT w.cell, {r('sum(1e0 + o % 7)')} AS value FROM w JOIN e ON e.cell = w.cell WHERE down >= 0 GROUP BY ALL")
+_WIDE = 50
+_GROWING = f"""(SELECT cell, CASE WHEN code = 1 THEN CASE WHEN cell % {_WIDE} < {_WIDE - 1} THEN cell + 1 ELSE -1 END WHEN cell // {_WIDE} = last THEN -1 WHEN code = 4 THEN cell + {_WIDE} WHEN code = 2 THEN CASE WHEN cell % {_WIDE} < {_WIDE - 1} THEN cell + {_WIDE + 1} ELSE -1 END ELSE CASE WHEN cell % {_WIDE} > 0 THEN cell + {_WIDE - 1} ELSE -1 END END AS down
+    FROM (SELECT cell, {_CODE} AS code, max(cell) OVER () // {_WIDE} AS last FROM (SELECT CAST(c_custkey AS BIGINT) AS cell FROM customer)))"""
+
+
+def _growing(t) -> tuple[DataFrame, DataFrame]:
+    """Edges of a grid with a cell for each customer, and a field on it."""
+    cells = t("customer").select(F.col("c_custkey").cast("bigint").alias("cell")).withColumn("value", F.expr(_CODE))
+    rows = cells.agg(F.max("cell")).first()[0] // _WIDE + 1
+    return network.edges(cells, Grid(_WIDE, rows)), cells.select("cell", (F.lit(1.0) + F.col("cell") % 7).alias("value"))
+
+
+def _accumulated(value: str, within: str = "") -> str:
+    return f"WITH RECURSIVE e AS MATERIALIZED {_GROWING}, w(o, cell, n) AS (SELECT cell, cell, 0 FROM e WHERE down >= 0 UNION ALL SELECT w.o, e.down, n + 1 FROM w JOIN e ON e.cell = w.cell WHERE e.down >= 0 {within}) SELECT w.cell, {r(value)} AS value FROM w JOIN e ON e.cell = w.cell WHERE down >= 0 GROUP BY ALL"
+
+
+@query("d8_accumulate", _accumulated("sum(1e0 + o % 7)"))
+def _(t, spark):
+    return network.accumulate(*_growing(t), receiver=False)
+
+
+@query("d8_accumulate_receiver", _accumulated("count(*) * (1e0 + min(w.cell) % 7)"))
+def _(t, spark):
+    return network.accumulate(*_growing(t))
+
+
+@query("d8_accumulate_within", _accumulated("count(*) * (1e0 + min(w.cell) % 7)", "AND n < 6"))
 def _(t, spark):
-    field = _cells(spark).select("cell", (F.lit(1.0) + F.col("cell") % 7).alias("value"))
-    return network.accumulate(_edges(spark), field, receiver=False)
+    return network.accumulate(*_growing(t), max_accumulated_cells=5)
 
 
 @query("slope", f"SELECT cell, CASE WHEN down >= 0 THEN {r('(cell * 31 % 53 - down * 31 % 53) / (2 * CASE WHEN abs(cell - down) IN (1, 40) THEN 1 ELSE sqrt(2) END)')} END AS slope FROM {_EDGES}")
@@ -572,7 +604,7 @@ def _(t, spark):
     return raster.voronoi(network.area(_edges(spark), OUTLET), G, _POINTS)
 
 
-@query("area_union", f"WITH RECURSIVE {_AREA} SELECT cell FROM a UNION SELECT cell FROM {_EDGES} WHERE cell % 40 = 3")
+@query("area_union", f"WITH RECURSIVE {_AREA} SELECT cell FROM a UNION SELECT cell FROM e WHERE cell % 40 = 3")
 def _(t, spark):
     return network.union(network.area(_edges(spark), OUTLET), _cells(spark).where("cell % 40 = 3"))
 
