@@ -56,17 +56,18 @@ def monthly_to_daily(df: DataFrame, month: str, value: str, by: list[str], minth
     return days.withColumn(value, F.when(F.col(value) >= minthreshold, F.col(value)))
 
 
-def monthly_to_daily_cubic(df: DataFrame, month: str, value: str, by: list[str]) -> DataFrame:
+def monthly_to_daily_cubic(df: DataFrame, month: str, value: str, by: list[str], minthreshold: float = 0.0) -> DataFrame:
     """by, day, value: daily values of a piecewise cubic that keeps every month's total.
 
-    Slopes at month ends follow a sweep through the series, so a series is one task.
+    A missing month has the total `minthreshold` - 1. Slopes at month ends follow a sweep through
+    the series, so a series is one task.
     """
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(month)
-        total = pdf[value].to_numpy(float)
+        total = pdf[value].fillna(minthreshold - 1).to_numpy(float)
         starts = pd.to_datetime(pdf[month]).dt.to_period("M")
         n = starts.dt.days_in_month.to_numpy()
         u = total / n

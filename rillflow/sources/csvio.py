@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import os
 import re
+import uuid
 import zipfile
+from collections.abc import Iterable
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.operators.lineage import shared_root
+
 
 def header_comments(lines: list[str]) -> dict[str, str]:
     """key -> value of comment lines; lines without a colon in their first 30 characters are numbered."""
@@ -55,9 +62,11 @@ def _members(spark: SparkSession, path: str, member: str | None) -> DataFrame:
 
         for b in batches:
             for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    lines = z.read(member or z.namelist()[0]).decode("utf-8", "replace").splitlines()
-                yield pd.DataFrame({"n": range(len(lines)), "value": lines})
+                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member or z.namelist()[0]) as f:
+                    lines, n = io.TextIOWrapper(f, "utf-8", "replace"), 0
+                    while part := [line.rstrip("\r\n") for line in itertools.islice(lines, 10_000)]:
+                        yield pd.DataFrame({"n": range(n, n + len(part)), "value": part})
+                        n += len(part)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "n long, value string")
 
@@ -65,18 +74,23 @@ def _members(spark: SparkSession, path: str, member: str | None) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, names: list[str] | None = None, has_names: bool = True, member: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The table and its comments, of a plain, gzip or zip file. `schema` is recommended for large files."""
     zipped = path.endswith(".zip") or member is not None
-    lines = _members(spark, path, member) if zipped else spark.read.text(path)
-    comments = header_comments([r["value"] for r in lines.where(F.col("value").startswith("#")).select("value").limit(1000).collect()])
-    rows = lines.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
+    lines = _members(spark, path, member) if zipped else spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    comment = F.col("value").startswith("#")
+    rows = lines.where(~comment & (F.length(F.trim("value")) > 0))
+    first = rows.agg(F.min(F.struct("n", "value"))).first()[0]
+    # only what stands before the first row is the head
+    head = lines.where(comment if first is None else comment & (F.col("n") < first["n"]))
+    comments = header_comments([r["value"] for r in head.orderBy("n").collect()])
     reader = spark.read.option("header", has_names and not zipped).option("comment", "#")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     if zipped:
-        kept = rows.orderBy("n").select("value")
-        if has_names:
-            first = kept.first()["value"]
-            kept = kept.where(F.col("value") != first)
-            names = names or first.split(",")
-        df = reader.csv(kept.rdd.map(lambda r: r["value"]))
+        if has_names and first is not None:
+            rows = rows.where(F.col("n") != first["n"])
+            names = names or next(csv.reader([first["value"]]))
+        # the member's rows as a text table, which the reader of plain files then takes
+        extracted = f"{shared_root(spark).rstrip('/')}/rillflow/csv-{uuid.uuid4().hex}"
+        rows.select("value").write.text(extracted)
+        df = reader.csv(extracted)
     else:
         df = reader.csv(path)
     return df.toDF(*[clean_name(c) for c in (names or df.columns)]), comments
@@ -93,31 +107,47 @@ def csv_head(nrow: int, ncol: int, comment, source_file: str, author: str | None
 
 
 def write_csv(df: DataFrame, path: str, comment, source_file: str, author: str | None = None, compress: bool = True, digits: int = 5, archive: zipfile.ZipFile | None = None) -> None:
-    """A small result as one commented file, zipped by default, or as a member of an archive."""
+    """A result as one commented file, zipped by default, or as a member of an archive.
+
+    The rows come to the driver a partition at a time and are written as they come.
+    """
+    import pandas as pd
+
     if not os.path.exists(source_file):
         raise ValueError(f"no source file {source_file}")
-    pdf = df.toPandas()
-    text = "\n".join([*csv_head(len(pdf), pdf.shape[1], comment, source_file, author), pdf.to_csv(index=False, float_format=f"%0.{digits}f")])
+    df = df.persist(StorageLevel.DISK_ONLY)
+    head = "\n".join(csv_head(df.count(), len(df.columns), comment, source_file, author)) + "\n"
+
+    def parts():
+        yield head + pd.DataFrame(columns=df.columns).to_csv(index=False)
+        rows = df.toLocalIterator(prefetchPartitions=True)
+        while part := list(itertools.islice(rows, 10_000)):
+            yield pd.DataFrame(part, columns=df.columns).to_csv(index=False, header=False, float_format=f"%0.{digits}f")
+
     if archive is not None:
-        write_member(archive, os.path.basename(path), text)
+        write_member(archive, os.path.basename(path), parts())
     elif compress:
         with zipfile.ZipFile(re.sub(r"\.csv$", "", path) + ".zip", "w", zipfile.ZIP_DEFLATED) as z:
-            write_member(z, os.path.basename(path), text)
+            write_member(z, os.path.basename(path), parts())
     else:
         with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.writelines(parts())
+    df.unpersist()
 
 
-def write_member(archive: zipfile.ZipFile, name: str, text: str) -> None:
+def write_member(archive: zipfile.ZipFile, name: str, text: str | Iterable[str]) -> None:
+    """A member of the archive from a text or its parts."""
     if name in archive.namelist():
         raise ValueError(f"the archive already has {name}")
     info = zipfile.ZipInfo(name)
-    info.external_attr = 0o777 << 16
-    archive.writestr(info, text)
+    info.external_attr, info.compress_type = 0o777 << 16, archive.compression
+    with archive.open(info, "w", force_zip64=True) as f:
+        for part in [text] if isinstance(text, str) else text:
+            f.write(part.encode())
 
 
 def write_html(df: DataFrame, path: str, title: str, comment: str = "", author: str = "", limit: int = 1000) -> None:
-    """The first rows as an HTML report."""
+    """The first `limit` rows, which a page can show, as an HTML report."""
     table = df.limit(limit).toPandas().to_html(index=False)
     with open(path, "w", encoding="utf-8") as f:
         f.write(f"<html><head><title>{title}</title></head><body><h1>{title}</h1><p>{comment}</p><p>{author}</p>{table}</body></html>")
