@@ -22,15 +22,18 @@ import uuid
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import create_file, scratch, small_batches, text_bytes, texts_of
+from rillflow.llm.common import create_file, input_bytes, materialize, ranges_for, scratch, small_batches, texts_of
 
 #: Deleted before texts are compared: \x20 and \x09-\x0D.
 WHITE = b" \t\n\v\f\r"
 #: Distinct texts that a task merges at once before it sends what it has.
 MERGED = 50_000
+#: Most owners: at 100 TB each holds about 1 GB of the tables' bytes.
+MOST_OWNERS = 100_000
 
 
 class ExtendibleHash:
@@ -109,13 +112,15 @@ def _candidates(docs: DataFrame) -> DataFrame:
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 norm = normalised(text)
-                sha = hashlib.sha256(norm).digest()
+                sha, packed = hashlib.sha256(norm).digest(), pack.compress(norm)
                 one = (len(text.decode("utf-8", "replace")), doc, 1)
+                if sha in merged and texts[sha] != packed:  # the same digest, other bytes
+                    yield flush()
                 if sha in merged:
                     merged[sha] = _best(merged[sha], one)
                 else:
-                    merged[sha], texts[sha] = one, pack.compress(norm)
-                    held += len(texts[sha])
+                    merged[sha], texts[sha] = one, packed
+                    held += len(packed)
             if len(merged) >= MERGED or held > 32_000_000:
                 yield flush()
                 held = 0
@@ -125,26 +130,75 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sha binary, key long, points long, doc_id long, rows long, packed binary")
 
 
-def _write_index(index: ExtendibleHash, uri: str) -> None:
-    """Directory and buckets of one owner: depth, slots, then key, sha, merged group and packed text of each entry."""
+_HEAD, _BUCKET, _ENTRY = struct.Struct("<4sIIQ"), struct.Struct("<II"), struct.Struct("<Q32sqq?qQI")
+
+
+def write_index(index: ExtendibleHash, uri: str) -> int:
+    """Write one owner's index; returns its entries.
+
+    "EXTH", depth, buckets, bytes of the index; the directory (a bucket's place for each slot);
+    buckets: depth, entries, and of each key, digest, points, id (and whether it is null), rows,
+    place and bytes of the text; then the texts, packed by zstd.
+    """
+    buckets, texts, at, out = index.buckets(), [], 0, []
+    place = {id(b): i for i, b in enumerate(buckets)}
+    out += [struct.pack("<I", place[id(b)]) for b in index.directory]
+    entries = 0
+    for depth, chains in buckets:
+        out.append(_BUCKET.pack(depth, sum(map(len, chains.values()))))
+        for key, chain in chains.items():
+            for (sha, packed), (points, doc, rows) in chain:
+                out.append(_ENTRY.pack(key, sha, points, doc or 0, doc is None, rows, at, len(packed)))
+                texts.append(packed)
+                at, entries = at + len(packed), entries + 1
+    body = b"".join(out)
     with create_file(uri) as f:
-        buckets = index.buckets()
-        place = {id(b): i for i, b in enumerate(buckets)}
-        f.write(struct.pack("<4sII", b"EXTH", index.depth, len(buckets)))
-        f.write(b"".join(struct.pack("<I", place[id(b)]) for b in index.directory))
-        for depth, chains in buckets:
-            f.write(struct.pack("<II", depth, sum(map(len, chains.values()))))
-            for key, chain in chains.items():
-                for (sha, packed), (points, doc, rows) in chain:
-                    f.write(struct.pack("<q32sqq?qI", key, sha, points, doc or 0, doc is None, rows, len(packed)) + packed)
-
-
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_bytes: int = 32_000_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of `df`."""
+        f.write(_HEAD.pack(b"EXTH", index.depth, len(buckets), len(body)) + body)
+        for t in texts:
+            f.write(t)
+    return entries
+
+
+def _open(uri: str):
+    """depth, directory, buckets of an index file as lists of entries, and a reader of its texts."""
+    store, path = pafs.FileSystem.from_uri(uri)
+    f = store.open_input_file(path)
+    magic, depth, buckets, size = _HEAD.unpack(f.read(_HEAD.size))
+    if magic != b"EXTH":
+        raise ValueError(f"{uri} is no index file")
+    body = f.read(size)
+    directory = struct.unpack_from(f"<{1 << depth}I", body)
+    at, found = 4 << depth, []
+    for _ in range(buckets):
+        _, n = _BUCKET.unpack_from(body, at)
+        at += _BUCKET.size
+        found.append([_ENTRY.unpack_from(body, at + k * _ENTRY.size) for k in range(n)])
+        at += n * _ENTRY.size
+
+    def text(place: int, length: int) -> bytes:
+        f.seek(_HEAD.size + size + place)
+        return f.read(length)
+
+    return depth, directory, found, text
+
+
+def find(uri: str, text: bytes) -> tuple | None:
+    """points, id, rows of a text's group in an index file: by its slot, its bucket and its bytes."""
+    norm = normalised(text)
+    sha = hashlib.sha256(norm).digest()
+    key = struct.unpack(">Q", sha[:8])[0]
+    depth, directory, buckets, read = _open(uri)
+    for own, other, points, doc, null, rows, at, size in buckets[directory[key & (1 << depth) - 1]]:
+        if own == key and other == sha and zstandard.ZstdDecompressor().decompress(read(at, size)) == norm:
+            return points, None if null else doc, rows
+    return None
+
+
+def write_owners(df: DataFrame, id_col: str, text_col: str, owner_bytes: int) -> tuple[DataFrame, str]:
+    """Write the index of all texts, a file for each range of keys; its manifest (name, entries) and folder."""
     spark = df.sparkSession
-    small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    owners = max(1, -(-text_bytes(docs, "text") // owner_bytes))
+    owners = ranges_for(input_bytes(docs), owner_bytes, MOST_OWNERS)
     folder = scratch(spark, "exact-index")
 
     def own(batches):
@@ -157,25 +211,36 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for sha, key, points, doc, rows, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 index.add(key & (1 << 64) - 1, (sha, packed), (points, doc, rows), _best)
-        entries = [e for _, chains in index.buckets() for chain in chains.values() for e in chain]
-        if not entries:
+        if not any(chains for _, chains in index.buckets()):
             return
-        _signed(index)
-        _write_index(index, f"{folder}/{uuid.uuid4().hex}.exth")
-        for k in range(0, len(entries), 10_000):
-            part = entries[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0][0] for e in part], pa.binary()), pa.array([e[1][1] for e in part], pa.int64()), pa.array([e[1][2] for e in part], pa.int64())], names=["sha", "keep_id", "group_size"])
+        name = f"{uuid.uuid4().hex}.exth"
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([write_index(index, f"{folder}/{name}")], pa.int64())], names=["name", "entries"])
 
     # owners take ranges of the key: its top bits
     ranged = _candidates(docs).withColumn("owner", F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * owners).cast("int"))
-    groups = ranged.repartitionById(owners, F.col("owner")).select("sha", "key", "points", "doc_id", "rows", "packed").mapInArrow(own, "sha binary, keep_id long, group_size long")
-    white = "[ \\t\\n\\x0B\\f\\r]"
-    facts = docs.select("doc_id", F.unhex(F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), white, ""), "UTF-8"), 256)).alias("sha"))
-    out = facts.join(groups, "sha")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    files = ranged.repartitionById(owners, F.col("owner")).select("sha", "key", "points", "doc_id", "rows", "packed").mapInArrow(own, "name string, entries long")
+    return materialize(files, "exact-manifest"), folder
+
 
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_bytes: int = 16_000_000) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of `df`, by the groups of the written index."""
+    small_batches(df.sparkSession)
+    manifest, folder = write_owners(df, id_col, text_col, owner_bytes)
 
-def _signed(index: ExtendibleHash) -> None:
-    """Keys as the signed 64-bit numbers of the file format."""
-    for bucket in index.buckets():
-        bucket[1] = {k - (1 << 64) if k >> 63 else k: c for k, c in bucket[1].items()}
+    def read(batches):
+        for b in batches:
+            for name, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                entries = [e for bucket in _open(f"{folder}/{name}")[2] for e in bucket]
+                if len(entries) != count:
+                    raise ValueError(f"{folder}/{name} doesn't match the manifest")
+                for k in range(0, count, 10_000):
+                    part = entries[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in part], pa.binary()), pa.array([None if e[4] else e[3] for e in part], pa.int64()), pa.array([e[5] for e in part], pa.int64())], names=["sha", "keep_id", "group_size"])
+
+    groups = manifest.repartition(max(1, manifest.count()), "name").mapInArrow(read, "sha binary, keep_id long, group_size long")
+    white = "[ \\t\\n\\x0B\\f\\r]"
+    norm = F.encode(F.regexp_replace(F.coalesce(text_col, F.lit("")), white, ""), "UTF-8")
+    facts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(norm, 256)).alias("sha"))
+    # Catalyst only knows the manifest's size, and would broadcast all groups
+    out = facts.join(groups.hint("merge"), "sha")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -7,8 +7,10 @@ longest common extension of two positions is found by binary search over such co
 A text's fingerprint holds the hash and length of the whole and a sample of its spans: the spans of
 SPAN code points whose mixed hashes are the SAMPLE smallest, repeated spans counted. From the samples of two texts
 follows the Jaccard similarity J of their span sets (over the smallest hashes of the union); their
-likeness is 2J / (1 + J), the share of spans they have in common. In texts of fewer than 2 SPAN code
-points spans are half as long as the text. Fingerprints have a bounded size for any text.
+likeness is 2J / (1 + J), the share of spans they have in common: an estimate, exact for texts of at
+most SAMPLE spans. A text of fewer than SPAN code points is one span. Fingerprints have a bounded
+size for any text. How far a text and its edited or next text agree from the start is exact, by the
+longest common extension.
 
 Defined results: null counts as empty text; two empty texts have likeness 1, an empty and another
 text 0; equal texts have likeness 1; ids are ordered with null first, equal ids by a hash of
@@ -27,9 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import id_bounds, id_buckets, small_batches, text_bytes, texts_of
+from rillflow.llm.common import id_ranges, input_bytes, ranges_for, small_batches, texts_of, tie
 from rillflow.llm.minhash import mix
-from rillflow.llm.ordered import in_order, ranges_for
+from rillflow.llm.ordered import in_order
 
 P = (1 << 31) - 1
 BASES = (911_382_323, 1_700_000_011)
@@ -112,14 +114,13 @@ class PrefixHash:
         return mix(d + _U(1))
 
 
-def sample_of(text: str) -> tuple[tuple, np.ndarray]:
+def sample_of(own: PrefixHash) -> tuple[tuple, np.ndarray]:
     """Whole-text hash with length, and the smallest mixed span hashes, ascending."""
-    own = PrefixHash(text)
     n = len(own.points)
     whole = (n, *own.span(0, n))
     if not n:
         return whole, np.empty(0, _U)
-    s = own.spans(min(SPAN, max(1, n // 2)))
+    s = own.spans(min(SPAN, n))
     few = s
     if len(s) > 16 * SAMPLE:  # hashes are distinct but for chance
         few = s[s <= np.partition(s, 4 * SAMPLE)[4 * SAMPLE]]
@@ -160,8 +161,8 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 32_000_000) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16_000_000) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_prefix, next_prefix.
 
     Texts are sent once, compressed, to the task of their id range; each range also gets a copy of
     the first row of the range after it, the last one that of the first.
@@ -169,13 +170,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = id_bounds(docs, "doc_id", ranges_for(text_bytes(docs, "text"), range_bytes))
+    ranges = id_ranges(docs, "doc_id", ranges_for(input_bytes(docs), range_bytes))
 
     def deal(batches, packed=True):
         pack = zstandard.ZstdCompressor(3)
         for b in batches:
             texts = texts_of(b.column(1))
-            columns = [pa.array(id_buckets(b.column(0), bounds)), b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())]
+            columns = [pa.array(ranges.of(b.column(0), texts)), b.column(0), pa.array([tie(t) for t in texts], pa.binary())]
             names = ["bucket", "doc_id", "tie"]
             if packed:
                 columns.append(pa.array([pack.compress(t) for t in texts], pa.binary()))
@@ -203,30 +204,32 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        last = None  # (bucket, doc_id, text, fingerprint parts) still without its next document
+        last = None  # (bucket, doc_id, text, fingerprint parts, prefix arrays) still without its next document
 
         def row(one, after):
             changed = edited(one[2], after[2])
-            whole, sample = sample_of(changed)
+            prefix = PrefixHash(changed)
+            whole, sample = sample_of(prefix)
             mine, other = render(*one[3]), render(whole, sample)
             near = 1.0 if mine == other else _likeness(one[3][1], sample)
             following = 1.0 if one[3][0] == after[3][0] and (one[3][1] == after[3][1]).all() else _likeness(one[3][1], after[3][1])
-            return one[1], len(one[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mine, other, near, following
+            return one[1], len(one[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mine, other, near, following, one[4].extension(0, prefix, 0), one[4].extension(0, after[4], 0)
 
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_prefix", "next_prefix"]
         for b in batches:
             out = []
             for bucket, doc, packed, borrowed in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "packed", "borrowed")), strict=True):
                 if borrowed and (last is None or last[0] != bucket):
                     continue  # a further copy of a head that occurs more than once
                 text = unpack.decompress(packed).decode("utf-8", "replace") if packed else ""
-                now = (bucket, doc, text, sample_of(text))
+                own = PrefixHash(text)
+                now = (bucket, doc, text, sample_of(own), own)
                 if last is not None and last[0] == bucket:
                     out.append(row(last, now))
                 last = None if borrowed else now
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     sent = docs.mapInArrow(dealt, "bucket int, doc_id long, tie binary, packed binary, borrowed boolean")
-    placed = in_order(sent, len(bounds) + 2, "borrowed", "doc_id", "tie")
-    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    placed = in_order(sent, ranges.count, "borrowed", "doc_id", "tie")
+    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_prefix long, next_prefix long")

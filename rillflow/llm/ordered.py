@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ranges_for(size: int, per_range: int) -> int:
-    """How many id ranges a table of `size` bytes is dealt to."""
-    return max(1, -(-size // per_range))
-
-
 def in_order(df: DataFrame, ranges: int, *order: str) -> DataFrame:
     """`df` with all rows of a `bucket` in one task, sorted by bucket and `order`."""
     return df.repartitionById(ranges, F.col("bucket")).sortWithinPartitions("bucket", *order)

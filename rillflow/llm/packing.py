@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import materialize, small_batches, texts_of
+from rillflow.llm.common import materialize, slices, small_batches
 from rillflow.llm.wordbpe import ID, word_ids
 
 
@@ -54,25 +54,25 @@ def sum_of_squares(lengths, capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_400_000) -> DataFrame:
+def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 100_000_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only where longer than `capacity`.
 
-    A Python worker remembers the ids of about `memo` words, some 190 bytes each; the rows don't depend on it.
+    A Python worker remembers ids of pre-tokens in about `memo` bytes; the rows don't depend on it.
     """
     small_batches(df.sparkSession)
-    end, width = np.array([end_id], ID).tobytes(), capacity * ID.itemsize
 
     def run(batches):
         own = word_ids(tokenizer_path, memo)
-        for b in batches:
-            rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), own.encode(texts_of(b.column(1))), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc, k, at // ID.itemsize, len(part) // ID.itemsize, zlib.crc32(part)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for b in (part for batch in batches for part in slices(batch, 1)):
+            ids, offsets = own.encode(b.column(1), end_id)
+            of = np.repeat(np.arange(len(b)), -(-np.diff(offsets) // capacity))
+            piece = np.arange(len(of)) - np.searchsorted(of, of)
+            at = offsets[of] + piece * capacity
+            stop = np.minimum(at + capacity, offsets[of + 1])
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip((at * ID.itemsize).tolist(), (stop * ID.itemsize).tolist(), strict=True)]
+            columns = [b.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(stop - at, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -81,7 +81,7 @@ def pack(df: DataFrame, capacity: int = 4096, group: int = 250_000) -> DataFrame
     """`df` of `pieces` with sequence_id and offset; about `group` pieces are packed by one task."""
     cut = materialize(df, "pieces")
     groups = max(1, -(-cut.count() // group))
-    small_batches(df.sparkSession, 10_000)
+    small_batches(df.sparkSession)
 
     def run(batches):
         held = list(batches)
@@ -94,10 +94,11 @@ def pack(df: DataFrame, capacity: int = 4096, group: int = 250_000) -> DataFrame
         table = table.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         yield from table.to_batches(max_chunksize=10_000)
 
-    dealt = cut.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
+    # the place in the written table deals repeated rows to all groups as well
+    dealt = cut.withColumn("place", F.monotonically_increasing_id()).repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32", "place")).drop("place")
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_400_000) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 100_000_000) -> DataFrame:
     """Every piece of every text with its place: see `pieces` and `pack`."""
     return pack(pieces(df, tokenizer_path, end_id, capacity, id_col, text_col, memo), capacity)

@@ -4,7 +4,8 @@ A rolling hash over a window of ids cuts each document's id stream into chunks,
 give equal chunks wherever they stand. A chunk is stored once, under the SHA-256 of its ids, in a
 pack file; a document is a recipe: its chunks' digests in order, and the Merkle root over them.
 Recipes are written in ascending id order, one file for each id range, that ends with the Merkle
-root over its documents' roots; a manifest lists the files that finished tasks wrote.
+root over its documents' roots; a manifest lists the files that finished tasks wrote, with a root
+of each, and the file `root` holds the Merkle root over the ranges in order.
 
 Pack file: "CPK1", then for each chunk digest (32 bytes), ids (u32), size (u32), and that many
 bytes: zstd of the ids as little-endian u16, or as u32 if one is larger. Recipe file: "CRC1", then for each
@@ -17,15 +18,17 @@ reading found of each chunk (count and CRC); CRCs of a document's chunks combine
 whole stream, so ids are not moved a second time. `read_documents` gives the ids themselves.
 
 Defined results: null or empty text has the end id alone; ids ascend with null first, repeated ids
-by hash of the text; an empty table gives an empty store and no rows; other columns are not read.
+in an order that their texts alone fix; an empty table gives an empty store and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import create_file, id_bounds, id_buckets, scratch, small_batches, text_bytes, texts_of
-from rillflow.llm.ordered import ranges_for
+from rillflow.llm.common import MOST_RANGES, create_file, id_ranges, input_bytes, ranges_for, read_file, scratch, slices, small_batches, texts_of
 from rillflow.llm.wordbpe import ID, word_ids
 
 #: Ids in the rolling window; least, mean (beyond the least) and most ids of a chunk.
@@ -43,26 +45,30 @@ WINDOW, LEAST, MEAN, MOST = 4, 256, 1024, 8192
 PACK_BYTES = 8_000_000
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of content-defined chunks: where the hash of the last WINDOW ids has its low bits all 0."""
+def chunk_marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: the hash of the WINDOW ids before has its high bits all 0."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
     h = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     h ^= h >> np.uint32(15)
     rolled = np.zeros(n, np.uint32)
     for k in range(WINDOW):
         rolled[k:] += h[: n - k] << np.uint32(k) | h[: n - k] >> np.uint32(32 - k if k else 31)
     rolled *= np.uint32(0x85EBCA6B)
-    marks = np.flatnonzero(rolled >> np.uint32(32 - MEAN.bit_length() + 1) == 0) + 1
-    ends, start = [], 0
-    while n - start > LEAST:
-        at = np.searchsorted(marks, start + LEAST)
-        end = min(int(marks[at]) if at < len(marks) else n, start + MOST, n)
-        ends.append(end)
-        start = end
-    if start < n:
-        ends.append(n)
+    return np.flatnonzero(rolled >> np.uint32(32 - MEAN.bit_length() + 1) == 0) + 1
+
+
+def chunk_ends(marks: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of one document, whose ids stand from `start` to `stop`, by the marks of a whole batch.
+
+    LEAST is over WINDOW, so no mark that counts depends on the document before.
+    """
+    ends = []
+    while stop - start > LEAST:
+        at = bisect_left(marks, start + LEAST)
+        start = min(marks[at] if at < len(marks) else stop, start + MOST, stop)
+        ends.append(start)
+    if start < stop:
+        ends.append(stop)
     return ends
 
 
@@ -79,11 +85,10 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 SHORT = np.dtype("<u2")
 
 
-def pack_ids(ids: bytes, packer) -> bytes:
+def pack_ids(ids: np.ndarray, packer) -> bytes:
     """zstd of the ids, in two bytes each if they fit."""
-    values = np.frombuffer(ids, ID)
-    short = not len(values) or values.max() < 1 << 16
-    return packer.compress(values.astype(SHORT).tobytes() if short else ids)
+    short = not len(ids) or ids.max() < 1 << 16
+    return packer.compress(ids.astype(SHORT if short else ID).tobytes())
 
 
 def unpack_ids(packed: bytes, n: int, unpacker) -> bytes:
@@ -122,7 +127,7 @@ def crc_of(parts) -> int:
     return total
 
 
-def write_store(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", owner_bytes: int = 32_000_000) -> str:
+def write_store(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", owner_bytes: int = 16_000_000) -> str:
     """Write the store of all texts of `df`; returns its folder.
 
     Chunks that a task has already seen are sent once (a bounded memory of digests). One shuffle
@@ -132,30 +137,29 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
     small_batches(spark)
     folder = scratch(spark, "token-store")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    owners = ranges_for(text_bytes(docs, "text"), owner_bytes)
-    bounds = id_bounds(docs, "doc_id", owners)
-    end = np.array([end_id], ID).tobytes()
+    owners = ranges_for(input_bytes(docs), owner_bytes)
+    ranges = id_ranges(docs, "doc_id", owners)
 
     def cut(batches):
         own, packer, seen = word_ids(tokenizer_path), zstandard.ZstdCompressor(3), set()
-        for b in batches:
-            texts = texts_of(b.column(1))
-            buckets = id_buckets(b.column(0), bounds).tolist()
+        for b in (part for batch in batches for part in slices(batch, 1)):
+            buckets = ranges.of(b.column(0), texts_of(b.column(1)) if ranges.parts.max() > 1 else []).tolist()
+            ids, offsets = own.encode(b.column(1), end_id)
+            marks, places, raw = chunk_marks(ids).tolist(), offsets.tolist(), memoryview(ids).cast("B")
             rows = []
-            for doc, bucket, text, ids in zip(b.column(0).to_pylist(), buckets, texts, own.encode(texts), strict=True):
-                ids += end
-                start, digests = 0, []
-                for stop in chunk_ends(np.frombuffer(ids, ID)):
-                    part = ids[start * ID.itemsize : stop * ID.itemsize]
+            for k, (doc, bucket) in enumerate(zip(b.column(0).to_pylist(), buckets, strict=True)):
+                start, digests = places[k], []
+                for stop in chunk_ends(marks, start, places[k + 1]):
+                    part = raw[start * ID.itemsize : stop * ID.itemsize]
                     digest = hashlib.sha256(part).digest()
                     digests.append(digest)
                     if digest not in seen:
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.add(digest)
-                        rows.append((int.from_bytes(digest[:4], "big") * owners >> 32, 1, None, digest, stop - start, pack_ids(part, packer)))
+                        rows.append((int.from_bytes(digest[:4], "big") * owners >> 32, 1, None, digest, stop - start, pack_ids(ids[start:stop], packer)))
                     start = stop
-                rows.append((bucket, 0, doc, hashlib.sha256(text).digest(), start, b"".join(digests)))
+                rows.append((bucket, 0, doc, None, start - places[k], b"".join(digests)))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["owner", "chunk", "doc_id", "digest", "n", "body"])
 
@@ -170,11 +174,9 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
             if out["at"] is None:
                 return
             kind, bucket = out["at"]
+            root = merkle_root(out["roots"])
             if kind == "recipes":
-                root = merkle_root(out["roots"])
                 out["body"].append(struct.pack("<I", 0xFFFFFFFF) + root)
-            else:
-                root = merkle_root(out["roots"])
             name = f"{kind}/{uuid.uuid4().hex}.bin"
             with create_file(f"{folder}/{name}") as f:
                 f.write((b"CRC1" if kind == "recipes" else b"CPK1") + b"".join(out["body"]))
@@ -205,40 +207,44 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(kinds)], names=names)
 
     dealt = docs.mapInArrow(cut, "owner int, chunk int, doc_id long, digest binary, n long, body binary")
-    placed = dealt.repartitionById(2 * (owners + 1), F.col("owner") * 2 + F.col("chunk")).sortWithinPartitions("owner", "chunk", "doc_id", "digest")
+    # even places: id ranges, odd ones: digest ranges; repeated ids are ordered by their recipes
+    placed = dealt.repartitionById(2 * max(owners, ranges.count), F.col("owner") * 2 + F.col("chunk")).sortWithinPartitions("owner", "chunk", "doc_id", "digest", "body")
     files = placed.mapInArrow(own_files, "kind string, bucket int, name string, entries long, ids long, root binary")
     files.write.option("compression", "zstd").parquet(f"{folder}/manifest")
+    with create_file(f"{folder}/root") as f:
+        f.write(merkle_root([bytes(r["root"]) for r in _ranges(spark, folder)]))
     return folder
 
 
-def _manifest(spark: SparkSession, folder: str) -> list:
-    """A row for each file of the store."""
-    return spark.read.schema("kind string, bucket int, name string, entries long, ids long, root binary").parquet(f"{folder}/manifest").collect()
+def _manifest(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """A row for each file of a kind."""
+    return spark.read.schema("kind string, bucket int, name string, entries long, ids long, root binary").parquet(f"{folder}/manifest").where(F.col("kind") == kind)
+
+
+def _ranges(spark: SparkSession, folder: str) -> list:
+    """The rows of the recipe files in order: as many as id ranges, a bounded number."""
+    return sorted(_manifest(spark, folder, "recipes").collect(), key=lambda r: r["bucket"])
 
 
-def _files(spark: SparkSession, folder: str, rows: list) -> DataFrame | None:
-    """Contents of the listed files, a file a row and a row a batch."""
-    if not rows:
-        return None
-    return spark.read.format("binaryFile").load([f"{folder}/{r['name']}" for r in rows]).select("path", "content")
+def _each(files: DataFrame) -> DataFrame:
+    """The manifest's rows, dealt to tasks so that a file or a few are one task's work."""
+    return files.repartition(max(1, min(files.count(), MOST_RANGES)), "name")
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
     """order, doc_id, start, n_tokens, digests of every document, in its place of the whole stream."""
-    rows = [r for r in _manifest(spark, folder) if r["kind"] == "recipes"]
-    kind = "position long, doc_id long, start long, n_tokens long, digests array<binary>"
-    files = _files(spark, folder, rows)
-    if files is None:
-        return spark.createDataFrame([], kind)
-    before, ids, docs = {}, 0, 0
-    for r in sorted(rows, key=lambda r: r["bucket"]):  # files are few: one for each id range
-        before[r["name"].rsplit("/", 1)[1]] = (ids, docs, r["entries"], bytes(r["root"]))
+    before, ids, docs, rows = {}, 0, 0, _ranges(spark, folder)
+    if read_file(f"{folder}/root") != merkle_root([bytes(r["root"]) for r in rows]):
+        raise ValueError(f"{folder}: the root doesn't match the manifest")
+    for r in rows:
+        before[r["name"]] = (ids, docs)
         ids, docs = ids + r["ids"], docs + r["entries"]
 
     def run(batches):
         for b in batches:
-            for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                start, place, entries, root = before[path.rsplit("/", 1)[1]]
+            for name, entries, root in zip(*(b.column(c).to_pylist() for c in ("name", "entries", "root")), strict=True):
+                body, path = read_file(f"{folder}/{name}"), f"{folder}/{name}"
+                start, place = before[name]
                 if body[:4] != b"CRC1":
                     raise ValueError(f"{path} is no recipe file")
                 at, out, roots = 4, [], []
@@ -263,46 +269,44 @@ def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(kinds)], names=["position", "doc_id", "start", "n_tokens", "digests"])
 
-    return files.mapInArrow(run, kind)
+    return _each(_manifest(spark, folder, "recipes")).mapInArrow(run, "position long, doc_id long, start long, n_tokens long, digests array<binary>")
 
 
 def read_chunks(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """digest, n, crc (and ids as bytes) of every stored chunk, each checked against its digest."""
     kind = "digest binary, n long, crc long" + ", ids binary" * with_ids
-    rows = [r for r in _manifest(spark, folder) if r["kind"] == "packs"]
-    files = _files(spark, folder, rows)
-    if files is None:
-        return spark.createDataFrame([], kind)
-    entries = {r["name"].rsplit("/", 1)[1]: r["entries"] for r in rows}
 
     def run(batches):
         unpacker = zstandard.ZstdDecompressor()
         for b in batches:
-            for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, out = 4, []
-                while at < len(body):
-                    digest = body[at : at + 32]
-                    n, size = struct.unpack_from("<II", body, at + 32)
-                    ids = unpack_ids(body[at + 40 : at + 40 + size], n, unpacker)
-                    at += 40 + size
+            for name, entries, root in zip(*(b.column(c).to_pylist() for c in ("name", "entries", "root")), strict=True):
+                body, path = io.BytesIO(read_file(f"{folder}/{name}")), f"{folder}/{name}"
+                out, leaves = [], []
+                if body.read(4) != b"CPK1":
+                    raise ValueError(f"{path} is no pack file")
+                while head := body.read(40):
+                    digest, n, size = struct.unpack("<32sII", head)
+                    ids = unpack_ids(body.read(size), n, unpacker)
                     if hashlib.sha256(ids).digest() != digest:
                         raise ValueError(f"{path}: a chunk doesn't match its digest")
+                    leaves.append(digest)
                     out.append((digest, n, zlib.crc32(ids), ids if with_ids else None))
-                if body[:4] != b"CPK1" or len(out) != entries[path.rsplit("/", 1)[1]]:
+                if len(out) != entries or merkle_root(leaves) != root:
                     raise ValueError(f"{path} doesn't match the manifest")
                 for k in range(0, len(out), 2000):
                     part = out[k : k + 2000]
                     kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())[: 3 + with_ids]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(kinds)], names=["digest", "n", "crc", "ids"][: 3 + with_ids])
 
-    return files.mapInArrow(run, kind)
+    return _each(_manifest(spark, folder, "packs")).mapInArrow(run, kind)
 
 
 def _joined(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
     recipes = read_recipes(spark, folder)
     parts = recipes.select("position", "doc_id", "start", "n_tokens", F.posexplode("digests").alias("k", "digest"))
     wanted = ["k", "n", "crc", *(["ids"] if with_ids else [])]
-    return parts.join(read_chunks(spark, folder, with_ids), "digest", "left").groupBy("position", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct(*wanted))).alias("parts"))
+    # Catalyst only knows the manifest's size, and would broadcast all chunks
+    return parts.join(read_chunks(spark, folder, with_ids).hint("merge"), "digest", "left").groupBy("position", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct(*wanted))).alias("parts"))
 
 
 def document_digests(spark: SparkSession, folder: str) -> DataFrame:
