@@ -86,9 +86,9 @@ ORACLE_SQL = {
         WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM x),
         f AS (SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(13)) AS form FROM l),
-        c AS (SELECT doc_id, line_no, form, length(form) AS size FROM f WHERE length(form) >= 24),
+        c AS (SELECT doc_id, line_no, form, length(form) AS size FROM f WHERE form <> ''),
         u AS (SELECT form, size, min((doc_id, line_no)) AS o FROM c GROUP BY ALL),
-        e AS (SELECT form, size, o, m, (m - 1) // 2 AS h FROM (SELECT *, unnest([size, size + 1]) AS m FROM u)),
+        e AS (SELECT form, size, o, m, (m - 1) // 2 AS h FROM (SELECT *, unnest([size, size + 1]) AS m FROM u WHERE size >= 24)),
         p AS (SELECT form, size, o, m, 'first' || left(form, h) AS half FROM e UNION ALL SELECT form, size, o, m, 'last' || right(form, m - h) AS half FROM e),
         g AS (SELECT DISTINCT b.form, a.o FROM p a JOIN p b ON a.m = b.m AND a.half = b.half AND a.o < b.o WHERE levenshtein(a.form, b.form) <= 1),
         t AS (SELECT u.form, least(u.o, coalesce(min(g.o), u.o)) AS t FROM u LEFT JOIN g ON g.form = u.form GROUP BY u.form, u.o),
