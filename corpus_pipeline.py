@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a
 table that is written as Parquet and read again as the next stage's `docs`. All but the last return
 the columns of `documents`.
+
+Defined results: a null, empty or letterless text goes in the first stage; null ids come first in
+the order of lines and last in the choice of a near duplicate; rows that repeat an id and text lose
+the same lines, and one of them stays; extra columns are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,17 +25,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stood earlier; those of which nothing is left go.
-
-    Exact copies go at every length from one character, which op8's SQL leaves below 24.
-    """
-    return linededup.dedup_lines(docs, size_col="n_chars" if "n_chars" in docs.columns else None, exact_chars=1)
+    """Documents without the lines that stood earlier; those of which nothing is left go."""
+    return linededup.dedup_lines(docs, size_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: that with the smallest id, null last."""
+    return minhash.keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The memo is smaller than the operator's own: here executors still hold the heap of earlier stages.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=500_000)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=40_000_000)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("best_fit_packing", best_fit_packing)]

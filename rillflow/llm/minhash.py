@@ -17,12 +17,15 @@ pairs are all written out:
    falling order of agreement while their components are apart. Only links leave the task.
 
 Defined results: null or wordless text has 0 shingles and is its own component; repeated rows come
-back as often as they came; rows with a null id take part, and their component is the least
-non-null id, if there is one; an empty table gives an empty table; other columns are not read.
+back as often as they came; texts that share an id are classes of their own, linked only by what
+they say; rows with a null id take part, and their component is the least non-null id, if there is
+one; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -55,16 +58,31 @@ _FACTORS = mix(np.arange(1001, 1065, dtype=_U)) | _U(1)
 _BAND_SALT = mix(np.arange(5001, 5001 + BANDS, dtype=_U))
 
 #: Word hashes of the running task: emptied when it ends, so idle Python workers hold little memory.
-_words = Memo(xxhash.xxh3_64_intdigest, 200_000)
+_words = Memo(xxhash.xxh3_64_intdigest, 40_000_000)
+
+
+#: Bytes of a text whose words are listed at once.
+PART = 1 << 22
+_WHITE = re.compile(rb"[ \t-\r]")
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    found, at = [], 0
+    while at < len(text):
+        end = _WHITE.search(text, at + PART)
+        stop = end.start() if end else len(text)
+        words = text[at:stop].lower().split()  # of bytes: A-Z, and \x20 \x09-\x0D
+        found.append(np.fromiter(map(_words.__getitem__, words), _U, len(words)))
+        at = stop + 1
+    return np.concatenate(found) if found else np.empty(0, _U)
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; one for all words of a shorter text."""
-    words = text.lower().split()  # of bytes: A-Z, and \x20 \x09-\x0D
-    n = len(words)
+    h = _word_hashes(text)
+    n = len(h)
     if not n:
         return np.empty(0, _U)
-    h = np.fromiter(map(_words.__getitem__, words), _U, n)
     if n < width:
         return mix(np.atleast_1d((h * _FACTORS[width : width + n]).sum(dtype=_U) + _U(n)))
     s = h[: n - width + 1] * _FACTORS[0]
@@ -114,11 +132,11 @@ def _facts(docs: DataFrame, width: int) -> DataFrame:
                     key.append(None), bands.append(None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "nid", "n_shingles", "set_key", "bands"],
+                names=["doc_id", "th", "n_shingles", "set_key", "bands"],
             )
         _words.clear()
 
-    return docs.select("doc_id", "nid", "text").mapInArrow(run, "doc_id long, nid long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set_key binary, bands array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -127,7 +145,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The rows (a, b) of `pairs` whose full sets reach the similarity; `texts` has (nid, text).
+    """The rows (a, b) of `pairs` whose full sets reach the similarity; `texts` has (node, text).
 
     An `a` with many partners is copied once for every PARTNERS of them, so none of its partners
     wait for one task. Each text is read where its key is sorted, one hub in memory at a time.
@@ -135,9 +153,9 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int = 5
     pairs = materialize(pairs, "pairs")
     salts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(PARTNERS))).alias("salts")), "salts")
     dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    partners = dealt.join(texts.select(F.col("nid").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    partners = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "salt", "b", "text")
     hubs = salts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    hubs = hubs.join(texts.select(F.col("nid").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    hubs = hubs.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches):
         at, sets = None, []
@@ -168,31 +186,23 @@ def _links_across(group: list[tuple], percent: int, width: int) -> list[tuple[in
     node, comp, block = (np.array([r[k] for r in group], np.int64) for k in range(3))
     s = np.stack([(sketch(x) & _U(255)).astype(np.uint8) for x in sets])
     two = block.min() != block.max()
-    step = max(1, 32_000_000 // (COORDINATES * len(group)))
-    found = []
+    # a byte for each pair: how many coordinates agree, 0 where the pair doesn't count
+    agree = np.empty((len(group), len(group)), np.uint8)
+    step = max(1, 8_000_000 // (COORDINATES * len(group)))
     for i in range(0, len(group), step):
         j = slice(i, i + step)
-        agree = (s[j, None, :] == s[None, :, :]).sum(axis=2, dtype=np.int16)
-        near = (agree >= NEAR) & (comp[j, None] != comp[None, :]) & (node[j, None] < node[None, :])
-        if two:
-            near &= block[j, None] != block[None, :]
-        x, y = np.nonzero(near)
-        found.append(np.stack([-agree[x, y].astype(np.int64), x + i, y]))
-    order = np.concatenate(found, axis=1)
-    order = order[:, np.lexsort(order[::-1])]
-    root = {c: c for c in set(comp.tolist())}
-
-    def find(c):
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
+        near = (s[j, None, :] == s[None, :, :]).sum(axis=2, dtype=np.uint8)
+        near[(node[j, None] >= node[None, :]) | ((block[j, None] == block[None, :]) if two else False)] = 0
+        agree[j] = near
     links = []
-    for _, i, j in order.T.tolist():
-        a, b = find(int(comp[i])), find(int(comp[j]))
-        if a != b and similar(sets[i], sets[j], percent):
-            root[max(a, b)] = min(a, b)
-            links.append((int(node[i]), int(node[j])))
+    for level in range(COORDINATES, NEAR - 1, -1):
+        for i in range(0, len(group), 256):
+            x, y = np.nonzero(agree[i : i + 256] == level)
+            apart = comp[x + i] != comp[y]
+            for a, b in zip((x[apart] + i).tolist(), y[apart].tolist(), strict=True):
+                if comp[a] != comp[b] and similar(sets[a], sets[b], percent):
+                    comp[comp == max(comp[a], comp[b])] = min(comp[a], comp[b])
+                    links.append((int(node[a]), int(node[b])))
     return links
 
 
@@ -216,7 +226,7 @@ def _across(buckets: DataFrame, first: DataFrame, texts: DataFrame, percent: int
     placed = rest.join(materialize(sizes, "sizes"), "hub").withColumn("block", F.when(F.col("outer"), F.col("cores") + F.pmod(F.xxhash64("node"), "outers")).otherwise(F.pmod(F.xxhash64("node"), F.greatest("cores", F.lit(1)))).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("outer"), 0).otherwise(F.col("cores")), F.col("cores") + F.col("outers") - 1)))
     placed = placed.select("node", "hub", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "comp", "block")
-    dealt = placed.join(texts.withColumnRenamed("nid", "node"), "node").select("hub", "x", "y", "node", "comp", "block", "text")
+    dealt = placed.join(texts, "node").select("hub", "x", "y", "node", "comp", "block", "text")
 
     def run(batches):
         at, group = None, []
@@ -239,21 +249,27 @@ def _across(buckets: DataFrame, first: DataFrame, texts: DataFrame, percent: int
     return dealt.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of `df`."""
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and th, a hash of the text: a row is told by its id and text, as ids may be null or repeat."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+
+
+def _components(df: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th, n_shingles, set_key of every row; set_key, component, least (id of the class) of every set."""
     small_batches(df.sparkSession)
-    # a null id gets a stand-in, so that its text can be found again
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("nid", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text") % (1 << 62))))
+    docs = _documents(df, id_col, text_col)
     facts = materialize(_facts(docs, width), "facts")
-    classes = materialize(
-        facts.where("n_shingles > 0").groupBy("set_key").agg(F.min("nid").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
-    )
+    of_set = facts.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # a class is a node of its own number, fixed by writing it
+    classes = materialize(of_set.select("set_key", "own.doc_id", "own.th", "n", "bands").withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
     hubs = materialize(hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     buckets = materialize(banded.join(hubs, "band"), "buckets")
-    texts = materialize(docs.select("nid", "text").join(buckets.select(F.col("node").alias("nid")).distinct(), "nid", "left_semi"), "texts")
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("own_id"), "th")
+    # rows that repeat an id and text are one before they are sent
+    once = docs.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    texts = materialize(once.join(wanted, (once.th == wanted.th) & once.doc_id.eqNullSafe(wanted.own_id)).select("node", "text"), "texts")
 
     star = buckets.where("node <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialize(verify(star, texts, percent, width), "links")
@@ -261,10 +277,41 @@ def near_duplicates(df: DataFrame, percent: int = 75, width: int = 5, id_col: st
 
     more = materialize(_across(buckets, first, texts, percent, width), "links")
     linked = components(edges.union(more)) if more.take(1) else first
+    return facts, classes.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), F.col("doc_id").alias("least"))
+
 
-    reach = classes.join(linked, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component"))
+def near_duplicates(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of `df`."""
+    facts, reach = _components(df, percent, width, id_col, text_col)
     least = materialize(reach.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     reach = reach.join(least, "component").select("set_key", "component_id")
     out = facts.select("doc_id", "n_shingles", "set_key").join(reach, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, of which one stays in each component: that of the least id (null last), then text hash.
+
+    Of rows that repeat that id and text one stays, the least by a hash of its columns. Rows without
+    words all stay.
+    """
+    facts, reach = _components(df, percent, width, id_col, text_col)
+    reach = materialize(reach, "reach")
+    rows = facts.where("n_shingles > 0").groupBy("set_key", "doc_id", "th").agg(F.count("*").alias("copies"))
+    placed = materialize(rows.join(reach.select("set_key", "component"), "set_key"), "placed")
+    best = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("best"))
+    told = placed.join(materialize(best, "best"), "component")
+    stays = told.where(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
+    gone = told.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))).select(F.col("doc_id").alias("id"), "th")
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
+
+    def met(other, how):
+        return own.join(other, (own.th == other.th) & own.id.eqNullSafe(other.id), how)
+
+    gone, again = materialize(gone, "gone"), materialize(stays.where("copies > 1").select(F.col("doc_id").alias("id"), "th"), "again")
+    if again.isEmpty():
+        return met(gone, "left_anti").select("row.*")
+    single = met(gone.union(again), "left_anti").select("row")
+    one = met(again, "left_semi").groupBy("id", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return single.union(one).select("row.*")
