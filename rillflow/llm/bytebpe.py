@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rillflow.llm.common import Memo, small_batches, texts_of
 
@@ -84,7 +85,7 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         #: No match passes from a non-space to a space, so such segments are encoded independently.
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        self.memo = Memo(self._segment, 250_000)
+        self.memo = Memo(self._segment, 60_000_000)
 
     def pre_token(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -127,7 +128,7 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,4 +141,4 @@ def encode_ids(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
             ids = [own.encode(t.decode("utf-8", "replace")) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, ids array<int>")

@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import small_batches, texts_of
@@ -109,18 +109,20 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, strictness: float = 0.5, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Centroids:
-    """Centroids from at most `per_language` rows of each language, chosen by a hash of their key.
+    """Centroids from at most `per_language` different texts of each language, chosen by a hash of key and text.
 
     `strictness` times the first percentile of a language's own cosines is its floor. The driver
     receives n-gram counts of the sample only, whose size is bounded by these parameters.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col, F.lit(17)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col, F.lit(17)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return Centroids([], np.empty(0, int), np.empty((DIMENSIONS, 0)), np.empty(0), np.ones(DIMENSIONS))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, float(min(1.0, per_language / n)))])
-    sample = rows.where(F.pmod("h", F.lit(1 << 20)) <= share[F.col("lang")] * (1 << 20)).limit(2 * per_language * len(sizes))
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2 * per_language / max(n, 1)))])
+    # a row for each text, and of each language the first by hash: the limit is pushed below the shuffle
+    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) <= share[F.col("lang")] * (1 << 20)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sample = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= per_language).select("lang", "text", "h")
 
     def run(batches):
         for b in batches:

@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rillflow.llm.common import Memo, small_batches, texts_of
 
@@ -39,7 +40,7 @@ class PieceCounter:
         if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.rank):
             raise ValueError("a piece spans a word boundary or a line feed; segments would not be independent")
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.memo = Memo(self.merge, 600_000)
+        self.memo = Memo(self.merge, 130_000_000)
 
     def merge(self, segment: str) -> int:
         """Tokens of a segment: symbols in a linked list, adjacent pairs in a heap by (rank, position)."""
@@ -102,4 +103,4 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, id_col: str
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

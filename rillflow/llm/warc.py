@@ -29,7 +29,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import create_file, scratch, small_batches, texts_of
+from rillflow.llm.common import MOST_RANGES, create_file, materialize, read_file, scratch, small_batches, texts_of
 
 ARCHIVE_BYTES = 8_000_000
 VERSION = b"WARC/1.1"
@@ -191,12 +191,14 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
 def write_archives(df: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
     """Write a record for each row of `df`; returns the archives' folder."""
     spark = df.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     folder = scratch(spark, "warc")
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     # one row for each payload, merged on the map side
     winners = pages.groupBy("sha", "size").agg(F.max("page_id").alias("first"))
+    # a table of its own, so that adaptive execution can split the rows of a common payload
+    winners = materialize(winners, "winners")
     response = F.col("page_id").eqNullSafe(F.col("first")) | (F.col("size") < least)
     told = pages.join(winners, ["sha", "size"]).select("page_id", "url", "payload", response.alias("response"), "first")
 
@@ -226,9 +228,9 @@ def write_archives(df: DataFrame, least: int = 0, id_col: str = "page_id", url_c
     return folder
 
 
-def _manifest(spark: SparkSession, folder: str) -> dict[str, int]:
-    """Records of each archive, by its name."""
-    return {r["name"]: r["records"] for r in spark.read.schema("name string, records long, bytes long").parquet(f"{folder}/manifest").collect()}
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each archive that a finished task wrote."""
+    return spark.read.schema("name string, records long, bytes long").parquet(f"{folder}/manifest")
 
 
 def _quarantine(folder: str, path: str, gaps: list[tuple[int, int, str]], size: int, missing: int) -> None:
@@ -239,15 +241,17 @@ def _quarantine(folder: str, path: str, gaps: list[tuple[int, int, str]], size:
         pq.write_table(pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in GAPS.split(", ")]), f)
 
 
-def _read(files: DataFrame, with_payload: bool, folder: str, counts: dict[str, int]) -> DataFrame:
+def _read(archives: DataFrame, with_payload: bool, folder: str) -> DataFrame:
+    """Records of the archives of a manifest (name, records); a task opens an archive at a time."""
+
     def run(batches):
         for b in batches:
-            for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
+            for name, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                body, rows = read_file(f"{folder}/archives/{name}"), []
                 records, gaps = salvage(body)
-                missing = counts[path.rpartition("/")[2]] - len(records)
+                missing = count - len(records)
                 if gaps or missing:
-                    _quarantine(folder, path, gaps, len(body), missing)
+                    _quarantine(folder, f"{folder}/archives/{name}", gaps, len(body), missing)
                 for r in records:
                     payload = r["block"].partition(b"\r\n\r\n")[2]
                     kind = r.get("warc-type", "")
@@ -262,7 +266,7 @@ def _read(files: DataFrame, with_payload: bool, folder: str, counts: dict[str, i
                     types = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], t) for i, t in enumerate(types)], names=[c.split()[0] for c in KINDS.split(", ")])
 
-    return files.mapInArrow(run, KINDS)
+    return archives.select("name", "records").mapInArrow(run, KINDS)
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
@@ -270,13 +274,11 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 
     What can't be read is in `quarantine(spark, folder)` once the rows have been computed.
     """
-    small_batches(spark, 500)
-    counts = _manifest(spark, folder)
+    small_batches(spark)
+    archives = _manifest(spark, folder)
     spark.createDataFrame([], GAPS).write.mode("overwrite").parquet(f"{folder}/quarantine")
-    if not counts:
-        return spark.createDataFrame([], KINDS)
-    files = spark.read.format("binaryFile").load([f"{folder}/archives/{n}" for n in counts]).select("path", "content")
-    return _read(files, with_payload, folder, counts)
+    # dealt by name: an archive or a few are one task's work
+    return _read(archives.repartition(max(1, min(archives.count(), MOST_RANGES)), "name"), with_payload, folder)
 
 
 def quarantine(spark: SparkSession, folder: str) -> DataFrame:
