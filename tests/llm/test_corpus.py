@@ -1,15 +1,22 @@
 """Corpus operators against libraries, brute force and SQL, with odd rows."""
 
+import base64
 import hashlib
+import math
+import os
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rillflow.llm import bytebpe, exactdedup, fingerprint, langid, linededup, minhash, packing, queries, tokencount, tokenstore, warc
+from rillflow.llm.common import id_ranges, tie
 from rillflow.llm.wordbpe import ID, WordIds
 
 ODD = ["", " ", "a", "  a  b\n\n c ", "▁▁x ▁", "<s> a </s>", "日本語 漢字", "\x1c a\x85b\xa0 c　d", "😀 é é", "x" * 5000, "it's I'LL we've", "<|endoftext|>foo <|STARTOFTEXT|>", "Éa É² ½x a_b A1B2 x×y ª", "a--b...C!? #1,234.5", "word " * 6000]
@@ -50,14 +57,37 @@ def test_byte_bpe(odd, empty):
     ranks = {t: i for i, t in enumerate(bytebpe.read_ranks(path))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    want = sorted((str(i), sha(",".join(map(str, library.encode_ordinary(t))).encode()), sha(t.encode())) for i, t in texts(odd))
-    assert sorted((str(r[0]), r[2], r[3]) for r in bytebpe.encode_digests(odd, path, P.PATTERN).collect()) == want
+    want = sorted((str(i), len(ids := library.encode_ordinary(t)), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, t in texts(odd))
+    assert sorted((str(r[0]), r[1], r[2], r[3]) for r in bytebpe.encode_digests(odd, path, P.PATTERN).collect()) == want
     assert bytebpe.encode_ids(empty, path, P.PATTERN).count() == 0
 
 
 def test_word_ids_equal_the_library():
-    own = WordIds(P.path("word_bpe_49k.json"))
-    assert own.encode([t.encode() for t in ODD]) == [np.array(e.ids, ID).tobytes() for e in own.library.encode_batch(ODD, add_special_tokens=False)]
+    rng = np.random.default_rng(5)
+    alphabet = list("aAbBéÉÿß×÷ªµ 1 23 \t\n\x0b\x1c\x85\u00a0İIẖH\u0331́'sS't<|>.,!$%中文ก😀Σς")
+    drawn = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(3000)]
+    rows = [*ODD, None, *drawn, "<", "|", "Éa" * 30, "<|ENDOFTEXT|> <|endoftext|>"]
+    for limit in (160_000_000, 20_000):  # the second one empties the memo again and again
+        own = WordIds(P.path("word_bpe_49k.json"), limit)
+        want = [e.ids for e in own.library.encode_batch([t or "" for t in rows], add_special_tokens=False)]
+        for end, tail in ((None, []), (1, [1])):
+            for k in range(0, len(rows), 100):
+                ids, at = own.encode(pa.array(rows[k : k + 100]), end)
+                assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [w + tail for w in want[k : k + 100]]
+    assert own.encode(pa.array([], pa.string()), 1)[0].tolist() == []
+
+
+def test_id_ranges_split_a_hot_id(spark):
+    """A null id, and an id of a third of all rows, are dealt to several ranges that keep the order."""
+    rows = [(None, f"n{i}") for i in range(300)] + [(7, f"s{i}") for i in range(300)] + [(i, "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = id_ranges(df, "doc_id", 30)
+    at = own.of(pa.array([r[0] for r in rows], pa.int64()), [r[1].encode() for r in rows])
+    assert max(np.bincount(at)) < 60 and at.max() < own.count
+    assert [r for _, r in sorted(zip(at.tolist(), rows, strict=True), key=lambda x: x[0])] != rows
+    key = lambda r: (r[0] is not None, r[0] or 0, tie(r[1].encode()))
+    order = sorted(range(len(rows)), key=lambda i: key(rows[i]))
+    assert (np.diff(at[order]) >= 0).all()
 
 
 def test_token_store_round_trip(spark, odd, empty):
@@ -75,7 +105,11 @@ def test_token_store_round_trip(spark, odd, empty):
 
 def test_chunks_follow_content():
     ids = np.random.default_rng(1).integers(0, 49_000, 20_000).astype(ID)
-    cut = lambda x: {hashlib.sha256(x[a:b].tobytes()).digest() for a, b in zip([0, *tokenstore.chunk_ends(x)], tokenstore.chunk_ends(x), strict=False)}
+
+    def cut(x):
+        ends = tokenstore.chunk_ends(tokenstore.chunk_marks(x).tolist(), 0, len(x))
+        return {hashlib.sha256(x[a:b].tobytes()).digest() for a, b in zip([0, *ends], ends, strict=False)}
+
     a, b = cut(ids), cut(np.concatenate([ids[:7], ids]))
     assert len(a & b) > 0.7 * len(a)
     parts = [b"abc", b"", b"x" * 1000]
@@ -135,6 +169,27 @@ def test_near_duplicates_against_brute_force(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+A, B = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    df = spark.createDataFrame([(1, A), (1, B), (2, A), (3, B), (None, A), (None, "only here , with a null id")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in minhash.near_duplicates(df).collect())
+    assert got == [("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), ("None", "1"), ("None", "None")]
+    unlike = spark.createDataFrame([(1, A), (1, B), (2, B)], "doc_id long, text string").union(spark.createDataFrame([(0, A)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(unlike).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
+def test_keep_one_of_each_component(spark, odd, empty):
+    """Null ids, repeated rows and shared ids: one row of each group stays, and rows without words."""
+    rows = [(1, A, "x"), (1, A, "y"), (1, B, "z"), (2, A, "x"), (None, B, "n"), (None, "a text of its own with null id", "n"), (None, "a text of its own with null id", "n"), (5, None, "e"), (6, " ", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = minhash.keep_one(df).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got if r["text"] and r["text"].strip()) == sorted([("1", A), ("1", B), ("None", rows[5][1])])
+    assert sorted(r["doc_id"] for r in got if not (r["text"] or "").strip()) == [5, 6]
+    assert minhash.keep_one(empty).count() == 0 and minhash.keep_one(odd).columns == odd.columns
+
+
 def test_sketch_fills_every_coordinate():
     for n in (1, 3, 100, 5000):
         s = minhash.mix(np.arange(1, n + 1, dtype=np.uint64))
@@ -184,8 +239,9 @@ def brute_lines(rows):
     for d, t in sorted(rows):
         for i, line in enumerate(t.split("\n")):
             form = line.strip(" \t\r")
-            if len(form) >= linededup.MIN_CHARS:
-                if any(near(form, s) for s in seen):
+            if form:
+                long = min(len(form), linededup.MIN_CHARS) == linededup.MIN_CHARS
+                if any(form == s or long and len(s) >= linededup.MIN_CHARS and near(form, s) for s in seen):
                     out.setdefault(d, []).append(str(i))
                 seen.append(form)
     return {d: ",".join(v) for d, v in out.items()}
@@ -193,9 +249,9 @@ def brute_lines(rows):
 
 def test_line_dedup_against_brute_force(spark, odd, empty):
     rng = np.random.default_rng(4)
-    lines = ["".join(rng.choice(list("abc é"), n)) + "z" for n in (24, 30, 31, 32, 63, 64, 65, 100, 127, 128, 200, 500)]
+    lines = ["".join(rng.choice(list("abc é"), n)) + "z" for n in (1, 3, 22, 23, 24, 30, 31, 32, 46, 47, 48, 63, 64, 65, 95, 96, 97, 100, 127, 128, 200, 500)]
     rows = []
-    for d in range(60):
+    for d in range(90):
         own = []
         for _ in range(5):
             x = list(lines[rng.integers(len(lines))])
@@ -222,13 +278,29 @@ def test_short_lines_go_as_exact_copies(spark):
     near = "a line of twenty-five char"
     rows = [(1, f"Les.\n\nx\n{near}"), (2, f" Les.\t\nLes\n\nx\n{near}s"), (3, "Les.\nx"), (4, "Les.\nLez.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    short = {r["doc_id"]: r["dropped_lines"] for r in linededup.line_report(df, exact_chars=1).collect()}
+    short = {r["doc_id"]: r["dropped_lines"] for r in linededup.line_report(df).collect()}
     assert short == {1: "", 2: "0,3,4", 3: "0,1", 4: "0"}
-    assert {r["doc_id"]: r["dropped_lines"] for r in linededup.line_report(df).collect()} == {1: "", 2: "4", 3: "", 4: ""}
+    assert {r["doc_id"]: r["dropped_lines"] for r in linededup.line_report(df, exact_chars=24).collect()} == {1: "", 2: "4", 3: "", 4: ""}
     # the pipeline's stage drops them; document 3 has nothing left
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, SF).collect()} == {1: rows[0][1], 2: "Les\n", 4: "Lez."}
 
 
+def test_a_line_of_a_million_characters(spark):
+    """Two near copies on one line each: the cost follows the length, not its square."""
+    rng = np.random.default_rng(9)
+    one = "".join(rng.choice(list("abcdefghij{}:,é"), 1_000_000))
+    df = spark.createDataFrame([(1, one), (2, one[:700_000] + "#" + one[700_000:]), (3, one[::-1])], "doc_id long, text string")
+    began = time.time()
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.line_report(df).collect()} == {1: 0, 2: 1, 3: 0}
+    assert time.time() - began < 60
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x\ny", 5, "a"), (2, "y\nz", 6, None)], "doc_id long, text string, k int, dropped string").withColumn("left", F.lit(1)).withColumn("th", F.lit("t"))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
+    assert got[1]["text"] == "x\ny" and got[2]["text"] == "z" and (got[2]["k"], got[2]["dropped"], got[2]["left"], got[2]["th"]) == (6, None, 1, "t")
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs.where(~queries.held_out()))
@@ -251,6 +323,157 @@ def test_fingerprints(spark, odd, empty):
     assert a.extension(0, b, 2) == 10 and a.equal(0, b, 2, 10) and not a.equal(0, b, 2, 11)
 
 
+def common_share(a, b):
+    """Share of spans that two texts have in common, by counting."""
+    spans = lambda t: Counter(t[i : i + w] for w in (min(fingerprint.SPAN, len(t)),) for i in range(len(t) - w + 1)) if t else Counter()
+    x, y = spans(a), spans(b)
+    return 1.0 if a == b else 2 * sum((x & y).values()) / max(1, x.total() + y.total())
+
+
+def test_fingerprint_likeness_against_counted_spans(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    rows += [(10**9 + i, t) for i, t in enumerate(["short text of 25 letters.", "abc", "ab", "a", "a", "short text of 25 letters?"])]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == [d for d, _ in rows]
+    off, by_text = [], {}
+    for (d, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        r, changed = got[d], fingerprint.edited(t, after)
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert r["edited_prefix"] == len(os.path.commonprefix([t, changed])) and r["next_prefix"] == len(os.path.commonprefix([t, after]))
+        by_text.setdefault(t, set()).add(r["fingerprint"])
+        by_text.setdefault(changed, set()).add(r["edited_fingerprint"])
+        off += [abs(r["near_edited"] - common_share(t, changed)), abs(r["near_next"] - common_share(t, after))]
+        if len(t) + len(after) < fingerprint.SAMPLE:
+            assert max(off[-2:]) < 1e-9
+    assert np.mean(off) < 0.04 and max(off) < 0.25
+    assert all(len(v) == 1 for v in by_text.values()) and len({x for v in by_text.values() for x in v}) == len(by_text)
+
+
+def test_language_id_against_plain_nearest_centroid(spark):
+    """Plain Python over the fitted vectors, for held-out documents; unlike text is rejected, documents are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~queries.held_out()))
+    held = docs.where(queries.held_out()).select("doc_id", "text", "lang").collect()
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).where(queries.held_out()).collect()}
+    for r in held[:60]:
+        counts = Counter()
+        text = "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower())
+        if not text.strip():
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        at = np.flatnonzero(grams := langid.gram_counts(r["text"]))
+        counts.update({int(k): (1 + math.log(grams[k])) * model.idf[k] for k in at})
+        norm = math.sqrt(sum(v * v for v in counts.values()))
+        cosines = [sum(v * model.matrix[k, c] for k, v in counts.items()) / norm for c in range(model.matrix.shape[1])]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[model.of[best]] and got[r["doc_id"]]["score"] == pytest.approx(cosines[best], abs=1e-9)
+    known = [r for r in held if r["lang"] and (r["text"] or "").strip()]
+    assert np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in known]) > 0.98
+    assert np.mean([got[r["doc_id"]]["rejected"] for r in known]) < 0.01
+    rng = np.random.default_rng(6)
+    strange = ["".join(rng.choice(list(letters), 400)) for letters in ("αβγδεζηθ ικλμνξο", "абвгдежз ийклмно", "漢字日本語文章学習", "zqxjkvwz qxzjk")]
+    assert all(model.predict(t)[2] for t in strange)
+
+
+def test_language_sample_of_null_and_repeated_ids(spark):
+    """Rows without ids, and one text repeated thousands of times, don't push a language out of the sample."""
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words over and over").alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(100).select("id", F.concat(F.lit("le chat est sur la table numero "), F.col("id").cast("string"), F.lit(" avec lui")).alias("text"), F.lit("fr").alias("lang"))
+    model = langid.fit(df.union(more))
+    assert model.languages == ["en", "fr"] and model.predict("le chat est sur la table")[0] == "fr"
+
+
+def test_warc_query_against_brute_force(spark):
+    pages = [(r["page_id"], (r["html"] or "").encode()) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    first = {}
+    for page, body in pages:
+        first[body] = max(first.get(body, page), page)
+    want = sorted((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first[b] == p else "revisit", None if first[b] == p else first[b]) for p, b in pages)
+    assert sorted(map(tuple, queries.op2_warc(spark, SF).collect())) == want
+
+
+def test_packing_against_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], ID)
+            want.append((r["doc_id"], k, at, len(part), zlib.crc32(part.tobytes())))
+    got = queries.op7_packing(spark, SF).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    places = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == places.get(r["sequence_id"], 0)
+        places[r["sequence_id"]] = r["offset"] + r["length"]
+    floor = -(-sum(w[3] for w in want) // 4096)
+    assert max(places.values()) <= 4096 and len(places) <= 1.05 * floor + 1
+
+
+def test_sum_of_squares_against_the_plain_rule():
+    """Every choice against a trial of all of them."""
+    capacity = 40
+    lengths = np.random.default_rng(8).integers(1, capacity + 1, 400).tolist()
+    bins, offsets = packing.sum_of_squares(lengths, capacity)
+    used = []
+    for n, b, offset in zip(lengths, bins, offsets, strict=True):
+        def after(k):
+            rooms = [capacity - u for u in used] + [capacity] * (k == len(used))
+            rooms[k] -= n
+            return sum(v * v for g, v in Counter(rooms).items() if g)
+
+        able = [k for k, u in enumerate(used) if u + n <= capacity] + [len(used)]
+        least = min(map(after, able))
+        best = min((capacity - used[k] if k < len(used) else capacity + 1, k) for k in able if after(k) == least)[1]
+        assert (b, offset) == (best, used[best] if best < len(used) else 0)
+        if b == len(used):
+            used.append(0)
+        used[b] += n
+
+
+def test_packing_deals_repeated_rows(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same words").alias("text"))
+    got = packing.pack(packing.pieces(df, P.path("word_bpe_49k.json")), 4096, 500)
+    per_group = [r["n"] for r in got.groupBy((F.col("sequence_id") / (1 << 40)).cast("long").alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_group) == 3000 and len(per_group) == 6 and max(per_group) < 700
+
+
+def test_exact_index_files_answer(spark):
+    rows = [(i, f"text {i % 300}" + " " * (i // 300)) for i in range(900)] + [(None, "text 0"), (2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest, folder = exactdedup.write_owners(df, "doc_id", "text", 2_000)
+    names = [r["name"] for r in manifest.collect()]
+    assert len(names) > 1 and sum(r["entries"] for r in manifest.collect()) == 301
+    at = lambda text: [x for n in names if (x := exactdedup.find(f"{folder}/{n}", text))]
+    assert at(b"te xt 5") == [(8, 605, 3)] and at(b"text 0") == [(8, 600, 4)] and at(b"") == [(0, 2000, 1)] and at(b"no such text") == []
+
+
+def test_warc_common_payload_and_int_ids(spark):
+    """A payload of a third of all rows, and ids that are no longs."""
+    df = spark.range(600).select(F.col("id").cast("int").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("<p>common</p>")).otherwise(F.col("id").cast("string")).alias("html"))
+    got = warc.read_archives(spark, warc.write_archives(df)).groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in got} == {"response": 401, "revisit": 199}
+    ints = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    counted = tokencount.count_tokens(ints, P.path("piece_bpe_32k.model"), limit=1).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["over_limit"]) for r in counted] == [(3, True), (0, False)]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert [len(r["ids"]) for r in bytebpe.encode_ids(ints, path, P.PATTERN).orderBy("doc_id").collect()] == [r["n_tokens"] for r in bytebpe.encode_digests(ints, path, P.PATTERN).orderBy("doc_id").collect()]
+
+
+def test_damaged_store_is_refused(spark):
+    from pathlib import Path
+
+    df = spark.createDataFrame([(1, "some words of a text"), (2, "others")], "doc_id long, text string")
+    folder = tokenstore.write_store(df, P.path("word_bpe_49k.json"))
+    root = Path(folder.removeprefix("file://"), "root")
+    root.write_bytes(b"\0" * 32)
+    with pytest.raises(ValueError, match="root"):
+        tokenstore.read_recipes(spark, folder)
+
+
 def test_warc_round_trip_and_salvage(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c", None), (4, "u", ""), (None, "u", "nul"), (5, "http://e\r\nX: y", "é" * 9000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -325,3 +548,48 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     components = minhash.near_duplicates(docs)
     assert components.where("not kept").count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages over real documents and odd rows (nulls, empty texts, repeated rows, an extra column), and an empty table."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("left", F.lit("extra"))
+    some = [r["text"] for r in docs.where("n_chars between 400 and 3000").orderBy("doc_id").limit(3).collect()]
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n "), (None, some[0] + " and a last line\n" + some[0]), (None, some[1]), (10**6 + 3, some[2]), (10**6 + 3, some[2]), (10**6 + 4, "日本語の文章 " * 50)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"), F.lit(None).cast("string").alias("left"))
+    docs.union(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+    model = langid.fit(docs.where(~queries.held_out()))
+    rows = [(d, t) for d, t in rows if not model.predict(t or "")[2]]
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={d!r}, text={t!r})" for d, t in rows)
+
+    low = lambda d: -(1 << 63) if d is None else d
+    gone, after = brute_lines([(low(d), t) for d, t in rows]), []
+    for d, t in rows:
+        out = set(gone.get(low(d), "").split(","))
+        left = "\n".join(x for i, x in enumerate(t.split("\n")) if str(i) not in out)
+        if left.strip(" \t\r\n") or not gone.get(low(d)):
+            after.append((d, left))
+    # null ids and a repeated id share line numbers in the brute force, so they are compared apart
+    plain = [(d, t) for d, t in after if d is not None and d < 10**6]
+    lines = corpus_pipeline.line_dedup(spark, kept, str(tmp_path))
+    got = [(r["doc_id"], r["text"]) for r in lines.collect()]
+    assert lines.columns == docs.columns and sorted(x for x in got if x[0] is not None and x[0] < 10**6) == sorted(plain)
+
+    near = corpus_pipeline.near_dedup(spark, lines, str(tmp_path))
+    stay = [(r["doc_id"], r["text"]) for r in near.collect()]
+    component = {d: c for d, _, c in brute_components([x for x in got if x[0] is not None and x[0] < 10**6])}
+    assert near.columns == docs.columns and sorted(d for d, _ in stay if d is not None and d < 10**6) == sorted(int(d) for d, c in component.items() if d == c)
+    assert [c for _, _, c in brute_components(stay)].count("None") <= 1
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces = sorted((str(d), min(4096, n - at)) for d, t in stay for n in (len(library.encode(t, add_special_tokens=False).ids) + 1,) for at in range(0, n, 4096))
+    assert sorted((str(r["doc_id"]), r["length"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == pieces
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
