@@ -172,3 +172,8 @@ def anderson_darling_cdf(n: int, z: float) -> float:
     t = (x - c) / (0.8 - c)
     t = -0.00022633 + (6.54034 - (14.6538 - (14.458 - (8.259 - 1.91864 * t) * t) * t) * t) * t
     return x + t * (0.04213 / n + 0.01365 / n**2)
+
+
+def runoff_ratio(aridity: Column, n: float = 2.5) -> Column:
+    """Runoff over rainfall of the Turc-Mezentsev water balance, from rainfall over potential evaporation."""
+    return 1 - 1 / F.pow(1 + F.pow(aridity, F.lit(n)), F.lit(1 / n))

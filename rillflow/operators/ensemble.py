@@ -121,26 +121,49 @@ def iqr(df: DataFrame, ens: str, ref: str, by: list[str], low: float = 0.25, hig
     return x.groupBy(*by).agg((100 * F.avg(ratio(F.col("c") - F.col("a"), F.col("c") + F.col("a")))).alias("skill"), F.avg("a").alias("score"), F.avg("c").alias("clim"), F.avg(ratio(F.col("a"), F.col("c"))).alias("ratio"))
 
 
-def ensemble_ranks(df: DataFrame, ens: str, by: list[str], key: str, eps: float = 1e-6) -> DataFrame:
+def ensemble_ranks(df: DataFrame, ens: str, by: list[str], key: str, eps: float = 1e-6, block: int = 1000) -> DataFrame:
     """by, key, rank: 1 + the sum over other forecasts of 1, 1/2 or 0, as members rank above, with or below theirs.
 
-    A group's forecasts are compared pairwise in NumPy, row by row; a group is one forecast run.
+    A group's forecasts are dealt to blocks of about `block`; each pair of blocks is one task's work,
+    in which a forecast meets all of the other block by one search in its joined members.
     """
+    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        sizes = sizes.withColumnRenamed(c, f"g{i}")
+        on = on & F.col(c).eqNullSafe(F.col(f"g{i}"))
+    placed = df.select(*by, F.col(key).alias("key"), F.col(ens).alias("ens")).join(sizes, on).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select(*by, "key", "ens", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def run(pdf):
-        m = [np.sort(np.asarray(e, float)) for e in pdf[ens]]
-        rank = np.ones(len(m))
-        for i, a in enumerate(m):
-            for j in range(i + 1, len(m)):
-                b = m[j]
-                above = (np.searchsorted(b, a - eps, "left") + np.searchsorted(b, a + eps, "right")).sum() / 2 / (len(a) * len(b))
-                u = 1.0 if above > 0.5 + 1e-12 else 0.0 if above < 0.5 - 1e-12 else 0.5
-                rank[i] += u
-                rank[j] += 1 - u
-        return pdf[[*by, key]].assign(rank=rank)
-
-    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in [*by, key])
-    return df.select(*by, key, ens).groupBy(*by).applyInPandas(run, f"{kinds}rank double")
+        m = [np.sort(np.asarray(e, float)) for e in pdf["ens"]]
+        low, high = min(e[0] for e in m), max(e[-1] for e in m)
+        step = 2 * (high - low) + 1 + 4 * eps
+        own = pdf["own"].to_numpy()
+        left = np.flatnonzero(own == own.min())
+        right = left if own.min() == own.max() else np.flatnonzero(own != own.min())
+        # members of the right block, each forecast's moved beyond those of the one before
+        shift = np.arange(len(right)) * step
+        start = np.concatenate([[0], np.cumsum([len(m[j]) for j in right])])
+        joined = np.concatenate([m[j] - low + s for j, s in zip(right, shift, strict=True)])
+        size = np.diff(start)
+        rank = np.zeros(len(m))
+        for i in left:
+            a = m[i][:, None] - low
+            below = np.searchsorted(joined, a - eps + shift, "left") + np.searchsorted(joined, a + eps + shift, "right") - 2 * start[:-1]
+            above = below.sum(axis=0) / 2 / (len(m[i]) * size)
+            u = np.where(above > 0.5 + 1e-12, 1.0, np.where(above < 0.5 - 1e-12, 0.0, 0.5))
+            if right is left:
+                rank[i] += u[right != i].sum()
+            else:
+                rank[i] += u.sum()
+                rank[right] += 1 - u
+        return pdf[[*by, "key"]].assign(part=rank)
+
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by) + f"key {df.schema[key].dataType.simpleString()}, "
+    parts = pairs.groupBy(*by, "x", "y").applyInPandas(run, f"{kinds}part double")
+    return parts.groupBy(*by, F.col("key").alias(key)).agg((1 + F.sum("part")).alias("rank"))
 
 
 def dscore(df: DataFrame, obs: str, ens: str, by: list[str], key: str, eps: float = 1e-6) -> DataFrame:
@@ -148,3 +171,18 @@ def dscore(df: DataFrame, obs: str, ens: str, by: list[str], key: str, eps: floa
     r = ensemble_ranks(df, ens, by, key, eps)
     o = df.select(*by, key, F.row_number().over(Window.partitionBy(*by).orderBy(obs, key)).alias("ro"))
     return o.join(r, [*by, key]).groupBy(*by).agg(((F.corr("ro", "rank") + 1) / 2).alias("dscore"))
+
+
+def alpha(df: DataFrame, obs: str, ens: str, by: list[str], kind: str = "CV", threshold: float = 5.0, random: bool = True, seed: int = 1) -> DataFrame:
+    """by, n, stat, pvalue, sudo, many_sudo: the test of uniform PITs and the share of censored cases.
+
+    `kind` is CV (Cramer-von Mises), KS (Kolmogorov-Smirnov) or AD (Anderson-Darling); `many_sudo`
+    warns of more than `threshold` per cent of censored cases.
+    """
+    names = {"CV": "cvm", "KS": "ks", "AD": "ad"}
+    if kind not in names:
+        raise ValueError(f"unknown test {kind!r}: expected CV, KS or AD")
+    p = pit(df, obs, ens, by, random, seed=seed)
+    share = p.groupBy(*by).agg((100 * F.avg(F.col("sudo").cast("double"))).alias("sudo"))
+    out = uniformity_pvalues(uniformity(p, "pit", by)).join(share, by)
+    return out.select(*by, "n", F.col(names[kind]).alias("stat"), F.col(f"{names[kind]}_p").alias("pvalue"), "sudo", (F.col("sudo") > threshold).alias("many_sudo"))

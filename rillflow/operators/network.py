@@ -222,6 +222,16 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("cell").distinct().join(b.select("cell"), "cell", "left_anti")
 
 
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("cell").distinct().join(b.select("cell"), "cell", "left_semi")
+
+
+def contains(cells: DataFrame, others: DataFrame) -> DataFrame:
+    """`others` with `inside`: whether its cell is one of an area's."""
+    own = cells.select("cell").distinct().withColumn("inside", F.lit(True))
+    return others.join(own, "cell", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
 def extent(cells: DataFrame, grid: Grid) -> DataFrame:
     """xmin, xmax, ymin, ymax of an area's cells."""
     h, x, y = grid.cellsize / 2, grid.x(F.col("cell")), grid.y(F.col("cell"))

@@ -92,16 +92,28 @@ class Grid:
         return part, cells.where(r.between(0, part.nrows - 1) & c.between(0, part.ncols - 1)).withColumn("cell", r * part.ncols + c)
 
 
+def _literals(rows: list[dict], kind: str) -> Column:
+    """A constant array of structs of any length: parsed once, so expressions don't grow with it."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(': '.join(f.split()) for f in kind.split(', '))}>>")
+
+
 def points_inside(points: DataFrame, x: str, y: str, polygon: list[tuple[float, float]], atol: float = 1e-8) -> DataFrame:
-    """`points` with `inside`: box test, then even-odd ray casting, as one expression over the edges."""
+    """`points` with `inside`: box test, then even-odd ray casting, folded over one array of the edges.
+
+    An edge holds its lower and upper y, its larger x, and the line at which points count as left of it.
+    """
     px, py = F.col(x), F.col(y)
     xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
-    crossings = F.lit(0)
+    edges = []
     for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]], strict=True):
-        hit = (py > min(ay, by)) & (py <= max(ay, by)) & (px <= max(ax, bx))
-        if abs(bx - ax) >= atol and by != ay:
-            hit = hit & (px <= (py - ay) * ((bx - ax) / (by - ay)) + ax)
-        crossings = crossings + hit.cast("int")
+        sloping = abs(bx - ax) >= atol and by != ay
+        edges.append({"low": min(ay, by), "high": max(ay, by), "right": max(ax, bx), "x": ax, "y": ay, "run": (bx - ax) / (by - ay) if sloping else None})
+
+    def cross(n, e):
+        hit = (py > e["low"]) & (py <= e["high"]) & (px <= e["right"]) & F.coalesce(px <= (py - e["y"]) * e["run"] + e["x"], F.lit(True))
+        return n + F.when(hit, 1).otherwise(0)
+
+    crossings = F.aggregate(_literals(edges, "low double, high double, right double, x double, y double, run double"), F.lit(0), cross)
     box = px.between(min(xs), max(xs)) & py.between(min(ys), max(ys))
     return points.withColumn("inside", (box & (crossings % 2 == 1)).cast("int"))
 
@@ -179,9 +191,16 @@ def intersect(fine_cells: DataFrame, fine: Grid, coarse: Grid) -> DataFrame:
 def voronoi(cells: DataFrame, grid: Grid, points: list[tuple[float, float]]) -> DataFrame:
     """point, weight: the share of cells nearest to each of a list of points, the first winning ties."""
     x, y = grid.x(F.col("cell")), grid.y(F.col("cell"))
-    nearest = F.array_min(F.array(*[F.struct(((x - a) * (x - a) + (y - b) * (y - b)).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(points)]))
+    places = _literals([{"i": i, "x": float(a), "y": float(b)} for i, (a, b) in enumerate(points)], "i int, x double, y double")
+    nearest = F.array_min(F.transform(places, lambda p: F.struct(((x - p["x"]) * (x - p["x"]) + (y - p["y"]) * (y - p["y"])).alias("d"), p["i"].alias("i"))))
     got = cells.select(nearest["i"].alias("point")).groupBy("point").agg(F.count("*").alias("n"))
     total = cells.agg(F.count("*").alias("total"))
     spine = cells.sparkSession.range(len(points)).select(F.col("id").cast("int").alias("point"))
     out = spine.join(got, "point", "left").crossJoin(F.broadcast(total))  # one row
     return out.select("point", ratio(F.coalesce("n", F.lit(0)).cast("double"), F.col("total").cast("double")).alias("weight"))
+
+
+def cells_inside(spark, grid: Grid, polygon: list[tuple[float, float]]) -> DataFrame:
+    """cell: those whose centre is inside a polygon."""
+    c = F.col("id")
+    return points_inside(spark.range(grid.ncols * grid.nrows).select(c.alias("cell"), grid.x(c).alias("x"), grid.y(c).alias("y")), "x", "y", polygon).where("inside = 1").select("cell")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.nulls import clean, ratio
+from rillflow.operators.quantiles import group_key, quantiles, with_quantiles
 
 EPS = 1e-10
 
@@ -87,8 +88,9 @@ def relative_percentile_error(df: DataFrame, obs: str, sim: str, by: list[str],
     """by, error: mean absolute relative error over `neval` percentiles from `low` to `high`."""
     if not 0 <= low <= high <= 100 or high - low < 1:
         raise ValueError("the percentile range must be within 0 to 100, and at least 1 wide")
-    marks = F.array(*[F.lit((low + (high - low) * k / (neval - 1)) / 100) for k in range(neval)])
-    q = pairs(df, obs, sim, by, exclude_null=True).groupBy(*by).agg(F.percentile("o", marks).alias("qo"), F.percentile("s", marks).alias("qs"))
+    marks = [(low + (high - low) * k / (neval - 1)) / 100 for k in range(neval)]
+    p = pairs(df, obs, sim, by, exclude_null=True)
+    q = with_quantiles(with_quantiles(p.select(*by).distinct(), p, "o", by, marks, "qo"), p, "s", by, marks, "qs")
     each = q.select(*by, F.explode(F.arrays_zip("qo", "qs")).alias("q")).select(*by, "q.qo", "q.qs")
     d = F.col("qs") - F.col("qo")
     total = F.col("qo") + F.col("qs")
@@ -156,7 +158,8 @@ def box_stats(df: DataFrame, value: str, by: list[str], box: float = 50.0, whisk
     cuts = [(100 - whiskers) / 200, (100 - box) / 200, 0.5, 1 - (100 - box) / 200, 1 - (100 - whiskers) / 200]
     names = ["whisker_low", "box_low", "median", "box_high", "whisker_high"]
     x = F.nullif(F.nullif(clean(value), F.lit(float("inf"))), F.lit(float("-inf")))
-    g = df.select(*by, x.alias("x")).groupBy(*by).agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", F.array(*[F.lit(c) for c in cuts])).alias("q"))
+    g = df.select(*by, x.alias("x")).groupBy(*by).agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    g = with_quantiles(g, df.select(*by, x.alias("x")), "x", by, cuts)
     many = F.col("count") > 3
     return g.select(*by, "count", *[F.when(many, F.col(c)).alias(c) for c in ("mean", "min", "max")], *[F.when(many, F.col("q")[i]).alias(c) for i, c in enumerate(names)])
 
@@ -173,7 +176,7 @@ def scatter_bins(df: DataFrame, value: str, ncats: int = 5, cuts: list[float] |
     """cat, n: rows in right-closed bins between quantiles or given cuts; -1 for missing values."""
     x = df.select(clean(value).alias("x"))
     if cuts is None:
-        marks = x.agg(F.percentile("x", F.array(*[F.lit(k / ncats) for k in range(ncats + 1)])).alias("cuts"))
+        marks = quantiles(x, "x", [], [k / ncats for k in range(ncats + 1)]).select(F.col("q").alias("cuts"))
     else:
         if len(set(cuts)) < len(cuts):
             raise ValueError("cuts must differ")
@@ -183,3 +186,50 @@ def scatter_bins(df: DataFrame, value: str, ncats: int = 5, cuts: list[float] |
     last = F.size("cuts") - 2
     cat = F.when(F.col("x").isNull(), -1).otherwise(F.greatest(F.least(below - 1, last), F.lit(0)))
     return y.groupBy(cat.cast("int").alias("cat")).agg(F.count("*").alias("n"))
+
+
+def pair_counts(df: DataFrame, obs: str, sim: str, by: list[str]) -> DataFrame:
+    """by, n, missing: rows, and those that lack a value of the pair."""
+    p = pairs(df, obs, sim, by)
+    return p.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("o").isNull() | F.col("s").isNull()).alias("missing"))
+
+
+def independent_scores(df: DataFrame, obs: str, sim: str, by: list[str] | None = None) -> DataFrame:
+    """Scores that forecast and observation would have if they were independent, with the same totals."""
+    c = binary_scores(df, obs, sim, by)
+    tp, fp, fn, tn = (F.col(k) for k in ("truepos", "falsepos", "falseneg", "trueneg"))
+    n = tp + fp + fn + tn
+    hit, false, miss, rest = (tp + fn) * (tp + fp) / n, (fp + tn) * (tp + fp) / n, (tp + fn) * (fn + tn) / n, (fp + tn) * (fn + tn) / n
+    out = {
+        "accuracy": ratio(hit + rest, n), "hitrate": ratio(hit, tp + fn), "falsealarm": ratio(false, fp + tn), "precision": ratio(hit, tp + fp),
+        "oddsratio": ratio(hit * rest, false * miss), "f1": ratio(2 * hit, 2 * hit + false + miss),
+    }
+    return c.select(*(by or []), *[v.alias(k) for k, v in out.items()])
+
+
+def violin_kde(df: DataFrame, value: str, by: list[str], npoints: int = 100) -> DataFrame:
+    """by, x, density: a Gaussian kernel density, scaled to 0..1, at regular places and at quantiles.
+
+    Repeated lowest and highest values, which censoring makes, count once. Equal values are one row
+    before they meet the places, so the work is distinct values times places. Up to two values, or
+    equal ones, give no rows.
+    """
+    half = npoints // 2
+    x = F.nullif(F.nullif(clean(value), F.lit(float("inf"))), F.lit(float("-inf")))
+    v = df.select(group_key(by).alias("g"), x.alias("x")).where("x is not null")
+    own = v.groupBy("g", "x").agg(F.count("*").alias("n"))
+    ends = own.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all")).where("all > 2 and lo < hi")
+    # of values that are nearly the lowest or highest only one counts
+    low, high = F.col("x") - F.col("lo") < EPS, F.col("hi") - F.col("x") < EPS
+    once = own.join(ends, "g").select("g", F.when(low, F.col("lo")).when(high, F.col("hi")).otherwise(F.col("x")).alias("x"), F.when(low | high, 1).otherwise(F.col("n")).alias("n"))
+    once = once.groupBy("g", "x").agg(F.max("n").cast("double").alias("n"))
+    w, sx, sxx = F.sum("n"), F.sum(F.col("n") * F.col("x")), F.sum(F.col("n") * F.col("x") * F.col("x"))
+    width = once.groupBy("g").agg((F.sqrt((sxx - sx * sx / w) / (w - 1)) * F.pow(w, F.lit(-0.2))).alias("h"))
+    q = quantiles(v, "x", ["g"], [i / (half - 1) for i in range(half)]).select(F.col("g.g").alias("g"), "q")
+    at = F.concat(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (half - 1)), "q")
+    places = ends.join(width, "g").join(q, "g").select("g", "h", F.posexplode(at).alias("i", "at"))
+    z = (F.col("at") - F.col("x")) / F.col("h")
+    sums = places.join(once, "g").groupBy("g", "i", "at").agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("s"))
+    span = sums.groupBy("g").agg(F.min("s").alias("least"), F.max("s").alias("most"))
+    density = ratio(F.col("s") - F.col("least"), F.col("most") - F.col("least")).alias("density")
+    return sums.join(span, "g").select(*[F.col("g").getField(c).alias(c) for c in by], F.col("at").alias("x"), density)

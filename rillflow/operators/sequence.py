@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.nulls import clean, ratio
 from rillflow.functions.special import norm_ppf
+from rillflow.operators.quantiles import group_key, quantiles
 
 
 def lagged(df: DataFrame, value: str, k: int, by: list[str], order: list[str], name: str = "lagged", missing=None) -> DataFrame:
@@ -48,34 +49,35 @@ def is_linear(df: DataFrame, value: str, by: list[str], order: list[str], npoint
 def eckhardt(df: DataFrame, flow: str, by: list[str], order: list[str], thresh: float = 0.95, tau: float = 20.0, bfi_max: float = 0.8, hourly: bool = False, name: str = "baseflow") -> DataFrame:
     """`df` with the baseflow of Eckhardt's recursive filter.
 
-    The filter is linear, so its state is a weighted sum of past flows; the sum is cut where weights
-    fall below 1e-18. An invalid flow repeats the last valid one. Filters with a longer memory than
-    200 steps run as one pandas loop for each series.
+    An invalid flow repeats the last valid one. Each series is read once, in order, by one task that
+    holds a batch and the filter's state.
     """
     if not (0 <= thresh <= 1 and 0 <= bfi_max <= 1) or tau <= 0:
         raise ValueError("thresh and bfi_max must be in [0, 1], tau positive")
     alpha = math.exp(-(1 / 24 if hourly else 1) / tau)
     c1, c2, c3 = (1 - bfi_max) * alpha, (1 - alpha) * bfi_max, 1 - alpha * bfi_max
     a, g = c1 / c3, c2 / c3
-    depth = math.ceil(math.log(1e-18) / math.log(a)) if a > 0 else 0
-    w, x = Window.partitionBy(*by).orderBy(*order), clean(flow)
-    q = F.coalesce(F.last(F.when(x >= 0, x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
-    z = df.withColumn("__q", q)
-    if depth <= 200:
-        total = sum((F.coalesce(F.lag("__q", k).over(w), F.lit(0.0)) * (g * a**k) for k in range(1, depth + 1)), F.col("__q") * g)
-        z = z.withColumn("__b", total).withColumn("__r", F.row_number().over(w))
-        return z.withColumn(name, F.when((F.col("__r") > 1) & (F.col("__b") > thresh * F.col("__q")), F.col("__q")).otherwise(F.col("__b"))).drop("__q", "__b", "__r")
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        state, out = 0.0, []
-        for i, v in enumerate(pdf["__q"]):
-            state = a * state + g * v
-            out.append(v if i and state > thresh * v else state)
-        return pdf.drop(columns="__q").assign(**{name: out})
+    place = len(df.columns)
+    z = df.withColumns({f"__k{i}": F.col(c) for i, c in enumerate(by)} | {"__q": clean(flow).cast("double")})
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, base, last, seen = None, 0.0, 0.0, False
+        for b in batches:
+            out = []
+            for q, *own in zip(b.column(b.num_columns - 1).to_pylist(), *(b.column(place + i).to_pylist() for i in range(len(by))), strict=True):
+                if own != key:
+                    key, base, last, seen = own, 0.0, 0.0, False
+                if q is not None and q >= 0:
+                    last = q
+                base = a * base + g * last
+                out.append(last if seen and base > thresh * last else base)
+                seen = True
+            yield pa.RecordBatch.from_arrays([*b.columns[:place], pa.array(out, pa.float64())], names=[*b.schema.names[:place], name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return z.groupBy(*by).applyInPandas(run, f"{kinds}, {name} double")
+    return z.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def plotting_positions(df: DataFrame, value: str, by: list[str], cst: float = 0.3, tie: list[str] | None = None) -> DataFrame:
@@ -100,8 +102,21 @@ def standard_normal(df: DataFrame, value: str, by: list[str], cst: float = 0.0,
 def fdc_slope(df: DataFrame, value: str, by: list[str], q1: float = 90, q2: float = 100, cst: float = 0.375, trans=None, tie: list[str] | None = None) -> DataFrame:
     """by, slope, q1, q2: slope of the flow duration curve between two percentiles."""
     x = plotting_positions(df, value, by, cst, tie)
-    cuts = x.groupBy(*by).agg(F.percentile(value, F.array(F.lit(q1 / 100), F.lit(q2 / 100))).alias("q"))
-    y = x.join(cuts, by).where(F.col(value).between(F.col("q")[0], F.col("q")[1]))
+    cuts = quantiles(x, value, by, [q1 / 100, q2 / 100])
+    y = x.withColumn("g", group_key(by)).join(cuts, "g").where(F.col(value).between(F.col("q")[0], F.col("q")[1]))
     t = trans.forward(F.col(value)) if trans else F.col(value)
     slope = F.when(F.stddev_pop(t) >= 1e-10, ratio(F.covar_pop(t, F.col("ppos")), F.var_pop("ppos")))
     return y.groupBy(*by).agg(slope.alias("slope"), F.first("q").alias("q")).select(*by, "slope", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"))
+
+
+def qq_points(df: DataFrame, value: str, by: list[str], tie: list[str] | None = None) -> DataFrame:
+    """by, value, z of the non-missing values: the normal quantile of each value's plotting position."""
+    return plotting_positions(df, value, by, 0.3, tie).withColumn("z", norm_ppf("ppos")).drop("ppos")
+
+
+def qq_line(df: DataFrame, value: str, by: list[str], censor: float | None = None, tie: list[str] | None = None) -> DataFrame:
+    """by, intercept, slope, r of the least-squares line through a normal quantile plot, above `censor` if given."""
+    p = qq_points(df, value, by, tie)
+    p = p if censor is None else p.where(F.col(value) > censor + 1e-10)
+    slope = ratio(F.covar_pop(value, "z"), F.var_pop("z"))
+    return p.groupBy(*by).agg((F.avg(value) - slope * F.avg("z")).alias("intercept"), slope.alias("slope"), F.corr(value, "z").alias("r"))

@@ -218,3 +218,31 @@ def cov_ellipse(df: DataFrame, x: str, y: str, by: list[str], pvalue: float = 0.
     m = df.groupBy(*by).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.var_samp(x).alias("a"), F.var_samp(y).alias("b"), F.covar_samp(x, y).alias("c"))
     half, root = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, 2) + F.col("c") * F.col("c"))
     return m.select(*by, "cx", "cy", (2 * F.sqrt(q * (half + root))).alias("major"), (2 * F.sqrt(q * F.greatest(half - root, F.lit(0.0)))).alias("minor"), F.degrees(F.atan2(half + root - F.col("a"), F.col("c"))).alias("angle"))
+
+
+def restriction_test(df: DataFrame, xs: list[str], y: str, by: list[str], R: list[list[float]], r: list[float] | None = None, intercept: bool = True) -> DataFrame:
+    """by, f, p of the restrictions R theta = r (0 if not given) on the least-squares parameters, from cross products."""
+    k = len(xs) + intercept
+    rest = np.array(R, float)
+    if rest.ndim != 2 or rest.shape[1] != k:
+        raise ValueError(f"R must have a column for each of {k} parameters")
+    goal = np.zeros(len(rest)) if r is None else np.array(r, float)
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = []
+        for one in pdf.to_dict("records"):
+            m = np.zeros((k + 1, k + 1))
+            for i in range(k + 1):
+                for j in range(i, k + 1):
+                    m[i, j] = m[j, i] = one[f"p_{i}_{j}"]
+            inverse = np.linalg.inv(m[:k, :k])
+            theta = inverse @ m[:k, k]
+            s2, d = (m[k, k] - theta @ m[:k, k]) / (one["n"] - k), rest @ theta - goal
+            f = float(d @ np.linalg.inv(rest @ inverse @ rest.T) @ d / len(rest) / s2)
+            rows.append({**{c: one[c] for c in by}, "f": f, "p": f_upper(f, len(rest), one["n"] - k)})
+        return pd.DataFrame(rows, columns=[*by, "f", "p"])
+
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+    return moments(df, xs, y, by, intercept).groupBy(*by).applyInPandas(run, f"{kinds}f double, p double")

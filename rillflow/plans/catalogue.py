@@ -6,15 +6,22 @@ rounded to six digits, so that the order of additions doesn't show.
 
 from __future__ import annotations
 
+import os
+import uuid
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions import calendar, transforms
 from rillflow.functions.nulls import rounded
-from rillflow.functions.special import norm_ppf_sql
+from rillflow.functions.special import norm_ppf_sql, runoff_ratio
 from rillflow.operators import ensemble, network, raster, resample, scores, sequence, stats
+from rillflow.operators.lineage import shared_root
+from rillflow.operators.quantiles import with_quantiles
 from rillflow.operators.raster import Grid
-from rillflow.sources import tasks
+from rillflow.sources import csvio, gridio, tasks
+from rillflow.streaming import recursions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -309,7 +316,8 @@ def _(t, spark):
 @query("violin_stats", f"SELECT l_returnflag, " + ", ".join(f"{r(f'quantile_cont(x, {q})')} AS q{int(100 * q)}" for q in (0, 0.25, 0.5, 0.75, 1)) + " FROM (SELECT l_returnflag, l_quantity::DOUBLE AS x FROM lineitem) GROUP BY ALL")
 def _(t, spark):
     cuts = (0.0, 0.25, 0.5, 0.75, 1.0)
-    g = t("lineitem").groupBy("l_returnflag").agg(F.percentile(F.col("l_quantity").cast("double"), F.array(*[F.lit(c) for c in cuts])).alias("q"))
+    x = t("lineitem").select("l_returnflag", "l_quantity")
+    g = with_quantiles(x.select("l_returnflag").distinct(), x, "l_quantity", ["l_returnflag"], list(cuts))
     return g.select("l_returnflag", *[F.col("q")[i].alias(f"q{int(100 * c)}") for i, c in enumerate(cuts)])
 
 
@@ -413,7 +421,11 @@ def _(t, spark):
     return ensemble.iqr(_forecasts(t).withColumn("a", F.slice("e", 1, 32)), "a", "e", ["site"])
 
 
-@query("dscore")
+@query("dscore", f"""WITH m AS (SELECT site, vec_id, unnest(e) AS x FROM {_ENS}),
+    p AS (SELECT a.site, a.vec_id, b.vec_id AS other, avg(CASE WHEN b.x < a.x - 1e-6 THEN 1e0 WHEN b.x <= a.x + 1e-6 THEN 0.5e0 ELSE 0e0 END) AS above FROM m a JOIN m b ON a.site = b.site AND a.vec_id <> b.vec_id GROUP BY ALL),
+    k AS (SELECT site, vec_id, sum(CASE WHEN above > 0.5 + 1e-12 THEN 1e0 WHEN above < 0.5 - 1e-12 THEN 0e0 ELSE 0.5e0 END) AS rank FROM p GROUP BY ALL),
+    o AS (SELECT site, vec_id, row_number() OVER (PARTITION BY site ORDER BY o, vec_id) AS ro FROM {_ENS})
+    SELECT o.site, {r('(corr(ro, rank) + 1) / 2')} AS dscore FROM o JOIN k ON k.site = o.site AND k.vec_id = o.vec_id GROUP BY ALL""")
 def _(t, spark):
     return ensemble.dscore(_forecasts(t), "o", "e", ["site"], "vec_id")
 
@@ -430,10 +442,24 @@ def _(t, spark):
     return fit.groupBy("l_returnflag").agg(F.max(F.when(F.col("term") == "q", F.col("estimate"))).alias("slope"), F.max(F.when(F.col("term") == "intercept", F.col("estimate"))).alias("intercept"))
 
 
-@query("ols_multiple")
+_FIT = f"""WITH m AS (SELECT l_returnflag, count(*) AS n, avg(q) AS mq, avg(d) AS md, avg(y) AS my, var_pop(q) * count(*) AS qq, var_pop(d) * count(*) AS dd, var_pop(y) * count(*) AS yy, covar_pop(q, d) * count(*) AS qd, covar_pop(q, y) * count(*) AS qy, covar_pop(d, y) * count(*) AS dy FROM {_REG} GROUP BY ALL),
+    b AS (SELECT *, qq * dd - qd * qd AS det, (dd * qy - qd * dy) / (qq * dd - qd * qd) AS bq, (qq * dy - qd * qy) / (qq * dd - qd * qd) AS bd FROM m),
+    f AS (SELECT *, my - bq * mq - bd * md AS b0, (yy - bq * qy - bd * dy) / (n - 3) AS s2 FROM b)"""
+
+
+def _prices(t):
+    return t("lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q"), (F.col("l_discount").cast("double") * 100).alias("d"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
+
+
+@query("ols_multiple", f"""{_FIT}, e AS (SELECT l_returnflag, unnest(['intercept', 'q', 'd']) AS term, unnest([b0, bq, bd]) AS estimate, unnest([sqrt(s2 * (1 / n + (mq * mq * dd - 2 * mq * md * qd + md * md * qq) / det)), sqrt(s2 * dd / det), sqrt(s2 * qq / det)]) AS stderr FROM f)
+    SELECT l_returnflag, term, {r('estimate')} AS estimate, {r('stderr')} AS stderr, {r('estimate / stderr')} AS t FROM e""")
+def _(t, spark):
+    return stats.lstsq(_prices(t), ["q", "d"], "y", ["l_returnflag"]).drop("p")
+
+
+@query("ols_restriction", f"{_FIT} SELECT l_returnflag, {r('(bq * qy + bd * dy) / 2 / s2')} AS f FROM f")
 def _(t, spark):
-    x = t("lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q"), (F.col("l_discount").cast("double") * 100).alias("d"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
-    return stats.lstsq(x, ["q", "d"], "y", ["l_returnflag"])
+    return stats.restriction_test(_prices(t), ["q", "d"], "y", ["l_returnflag"], [[0, 1, 0], [0, 0, 1]]).drop("p")
 
 
 @query("leverage", f"WITH x AS (SELECT s_suppkey, 1e0 AS a, s_acctbal::DOUBLE / 1000 AS b FROM supplier), m AS (SELECT sum(a * a) AS n, sum(a * b) AS p, sum(b * b) AS q FROM x) SELECT s_suppkey, {r('(q - 2 * p * b + n * b * b) / (n * q - p * p)')} AS leverage FROM x, m")
@@ -462,7 +488,10 @@ def _(t, spark):
     return stats.ar_simulate(x, "residual", [0.5, 0.2], BY, AT, mean=100.0).select("event_id", "sim")
 
 
-@query("kde_grid")
+@query("kde_grid", f"""WITH s AS (SELECT s_acctbal::DOUBLE / 1000 AS x, s_nationkey::DOUBLE AS y FROM supplier),
+    m AS (SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, var_samp(x) * count(*) ^ (-1 / 3e0) AS a, var_samp(y) * count(*) ^ (-1 / 3e0) AS b, covar_samp(x, y) * count(*) ^ (-1 / 3e0) AS c FROM s),
+    g AS (SELECT x0 - 0.05e0 * (x1 - x0) + 1.1e0 * (x1 - x0) * i / 19 AS gx, y0 - 0.05e0 * (y1 - y0) + 1.1e0 * (y1 - y0) * j / 19 AS gy, a, b, c, n, a * b - c * c AS det FROM m, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j))
+    SELECT {r('gx')} AS gx, {r('gy')} AS gy, {r('sum(exp(-0.5e0 * (b * (gx - x) ^ 2 - 2 * c * (gx - x) * (gy - y) + a * (gy - y) ^ 2) / det)) / (any_value(n) * 2 * pi() * sqrt(any_value(det)))')} AS density FROM g, s GROUP BY gx, gy""")
 def _(t, spark):
     return stats.kde_grid(t("supplier").select((F.col("s_acctbal").cast("double") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y")), "x", "y", 20)
 
@@ -517,14 +546,14 @@ def _(t, spark):
 POLYGON = [(120.0, -40.0), (150.0, -42.0), (140.0, -25.0), (148.0, -12.0), (118.0, -15.0), (128.0, -30.0)]
 
 
-def _inside_sql() -> str:
+def _inside_sql(key: str, source: str) -> str:
     hits = []
     for (ax, ay), (bx, by) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]], strict=True):
         hits.append(f"(y > {min(ay, by)}e0 AND y <= {max(ay, by)}e0 AND x <= {max(ax, bx)}e0 AND x <= (y - ({ay}e0)) * {(bx - ax) / (by - ay)!r} + {ax}e0)::INTEGER")
-    return f"SELECT c_custkey, CAST(CASE WHEN x BETWEEN 118 AND 150 AND y BETWEEN -42 AND -12 THEN ({' + '.join(hits)}) % 2 ELSE 0 END AS INTEGER) AS inside FROM (SELECT c_custkey, {_LON} AS x, {_LAT} AS y FROM customer)"
+    return f"SELECT {key}, CAST(CASE WHEN x BETWEEN 118 AND 150 AND y BETWEEN -42 AND -12 THEN ({' + '.join(hits)}) % 2 ELSE 0 END AS INTEGER) AS inside FROM ({source})"
 
 
-@query("inside_polygon", _inside_sql())
+@query("inside_polygon", _inside_sql("c_custkey", f"SELECT c_custkey, {_LON} AS x, {_LAT} AS y FROM customer"))
 def _(t, spark):
     return raster.points_inside(t("customer").select("c_custkey", F.expr(_LON).alias("x"), F.expr(_LAT).alias("y")), "x", "y", POLYGON).select("c_custkey", "inside")
 
@@ -619,18 +648,127 @@ def _(t, spark):
     return network.boundary(network.filled(network.area(_edges(spark), OUTLET), G), G)
 
 
-@query("grid_interpolate")
+@query("grid_interpolate", f"""WITH z AS (SELECT range AS cell, (range * range % 17)::DOUBLE AS v FROM range({_N})),
+    t AS (SELECT range AS cell, (101 + 2.5e0 * (range % 30 + 0.5e0) - 100) / 2 - 0.5e0 AS fx, 39 - ((-49 + 2.5e0 * (29 - range // 30 + 0.5e0) + 50) / 2 - 0.5e0) AS fy FROM range(900)),
+    k AS (SELECT *, least(floor(fy), 38)::BIGINT AS i, least(floor(fx), 38)::BIGINT AS j FROM t WHERE fx BETWEEN 0 AND 39 AND fy BETWEEN 0 AND 39)
+    SELECT k.cell, {r('(1 - fy + i) * ((1 - fx + j) * a.v + (fx - j) * b.v) + (fy - i) * ((1 - fx + j) * c.v + (fx - j) * d.v)')} AS value
+    FROM k JOIN z a ON a.cell = i * 40 + j JOIN z b ON b.cell = a.cell + 1 JOIN z c ON c.cell = a.cell + 40 JOIN z d ON d.cell = a.cell + 41""")
 def _(t, spark):
-    z = _cells(spark).select("cell", (G.x(F.col("cell")) * 2 - G.y(F.col("cell"))).alias("value"))
+    z = _cells(spark).select("cell", (F.col("cell") * F.col("cell") % 17).cast("double").alias("value"))
     return raster.interpolate(z, G, Grid(30, 30, 2.5, 101.0, -49.0))
 
 
-@query("grid_smooth")
+@query("grid_smooth", f"""WITH x AS (SELECT range // 40 AS r, range % 40 AS c, CASE WHEN range % 11 <> 0 THEN (range % 40)::DOUBLE END AS v FROM range({_N})),
+    p AS (SELECT *, max(v) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM x),
+    f AS (SELECT r, c, coalesce(v, max(m) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS v FROM p),
+    w AS (SELECT k, exp(-0.5e0 * (k / 2e0) ^ 2) / sum(exp(-0.5e0 * (k / 2e0) ^ 2)) OVER () AS w FROM (SELECT unnest(range(-8, 9)) AS k)),
+    h AS (SELECT a.r, a.c, sum(w * b.v) AS v FROM f a CROSS JOIN w JOIN f b ON b.r = a.r AND b.c = greatest(0, least(39, a.c + k)) GROUP BY ALL),
+    g AS (SELECT a.r, a.c, sum(w * b.v) AS v FROM h a CROSS JOIN w JOIN h b ON b.c = a.c AND b.r = greatest(0, least(39, a.r + k)) GROUP BY ALL)
+    SELECT r * 40 + c AS cell, {r('v')} AS value FROM g""")
 def _(t, spark):
     z = _cells(spark).select("cell", F.when(F.col("cell") % 11 != 0, (F.col("cell") % 40).cast("double")).alias("value"))
     return raster.smooth(z, G, 2.0, 20)
 
 
+# ---- more of sets of cells, quantile plots, densities, sessions and files
+
+@query("area_intersect", f"WITH RECURSIVE {_AREA} SELECT cell FROM a WHERE cell % 3 = 0")
+def _(t, spark):
+    return network.intersection(network.area(_edges(spark), OUTLET), _cells(spark).where("cell % 3 = 0"))
+
+
+@query("area_isin", f"WITH RECURSIVE {_AREA} SELECT c_custkey, a.cell IS NOT NULL AS inside FROM customer LEFT JOIN a ON a.cell = c_custkey % {_N}")
+def _(t, spark):
+    places = t("customer").select("c_custkey", (F.col("c_custkey") % _N).cast("bigint").alias("cell"))
+    return network.contains(network.area(_edges(spark), OUTLET), places).select("c_custkey", "inside")
+
+
+_CENTRES = f"SELECT range AS cell, 100 + 2e0 * (range % 40 + 0.5e0) AS x, -50 + 2e0 * (39 - range // 40 + 0.5e0) AS y FROM range({_N})"
+
+
+@query("cells_inside", f"SELECT cell FROM ({_inside_sql('cell', _CENTRES)}) WHERE inside = 1")
+def _(t, spark):
+    return raster.cells_inside(spark, G, POLYGON)
+
+
+_QQ = f"(SELECT event_type, v, {norm_ppf_sql('p')} AS z FROM (SELECT event_type, v, (row_number() OVER (PARTITION BY event_type ORDER BY v, event_id) - 0.3e0) / (count(*) OVER (PARTITION BY event_type) + 0.4e0) AS p FROM {_EVENTS} WHERE v IS NOT NULL))"
+
+
+@query("qq_line", f"SELECT event_type, {r('regr_intercept(v, z)')} AS intercept, {r('regr_slope(v, z)')} AS slope, {r('corr(v, z)')} AS r FROM {_QQ} GROUP BY ALL")
+def _(t, spark):
+    return sequence.qq_line(_events(t), "v", BY, tie=["event_id"])
+
+
+@query("qq_line_censored", f"SELECT event_type, {r('regr_intercept(v, z)')} AS intercept, {r('regr_slope(v, z)')} AS slope, {r('corr(v, z)')} AS r FROM {_QQ} WHERE v > 20 + 1e-10 GROUP BY ALL")
+def _(t, spark):
+    return sequence.qq_line(_events(t), "v", BY, 20.0, ["event_id"])
+
+
+@query("violin_kde", f"""WITH x AS (SELECT s_nationkey % 3 AS k, greatest(s_acctbal::DOUBLE / 1000, 1e0) AS x FROM supplier),
+    m AS (SELECT k, min(x) AS lo, max(x) AS hi, quantile_cont(x, {[i / 9 for i in range(10)]}) AS q FROM x GROUP BY ALL HAVING count(*) > 2 AND min(x) < max(x)),
+    s AS (SELECT x.k, x.x FROM x JOIN m ON m.k = x.k WHERE x > lo AND x < hi UNION ALL SELECT k, unnest([lo, hi]) FROM m),
+    w AS (SELECT k, stddev_samp(x) * count(*) ^ (-0.2e0) AS h FROM s GROUP BY ALL),
+    p AS (SELECT m.k, h, unnest(range(20)) AS i, unnest(list_concat(list_transform(range(10), lambda i: lo + (hi - lo) * i / 9), q)) AS g FROM m JOIN w ON w.k = m.k),
+    d AS (SELECT p.k, i, g, sum(exp(-((g - x) / h) ^ 2 / 2)) AS d FROM p JOIN s ON s.k = p.k GROUP BY ALL)
+    SELECT k, {r('g')} AS x, {r('(d - min(d) OVER (PARTITION BY k)) / (max(d) OVER (PARTITION BY k) - min(d) OVER (PARTITION BY k))')} AS density FROM d""")
+def _(t, spark):
+    x = t("supplier").select((F.col("s_nationkey") % 3).alias("k"), F.greatest(F.col("s_acctbal").cast("double") / 1000, F.lit(1.0)).alias("x"))
+    return scores.violin_kde(x, "x", ["k"], 20)
+
+
+@query("pair_counts", f"SELECT event_type, count(*) AS n, count(*) FILTER (o IS NULL OR s IS NULL) AS missing FROM {_PAIRS} GROUP BY ALL")
+def _(t, spark):
+    return scores.pair_counts(_pairs(t), "o", "s", BY)
+
+
+@query("independent_scores", f"""WITH c AS (SELECT count(*) FILTER (quality = 1)::DOUBLE AS po, count(*) FILTER (toxic = 1)::DOUBLE AS ps, count(*)::DOUBLE AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+    h AS (SELECT *, po * ps / n AS tp, (n - po) * ps / n AS fp, po * (n - ps) / n AS fn, (n - po) * (n - ps) / n AS tn FROM c)
+    SELECT {r('(tp + tn) / n')} AS accuracy, {r('tp / po')} AS hitrate, {r('fp / (n - po)')} AS falsealarm, {r('tp / ps')} AS precision, {r('tp * tn / (fp * fn)')} AS oddsratio, {r('2 * tp / (2 * tp + fp + fn)')} AS f1 FROM h""")
+def _(t, spark):
+    return scores.independent_scores(t("labels"), "quality", "toxic")
+
+
+@query("runoff_ratio", f"SELECT event_id, {r('1 - 1 / (1 + (value / 50 + 0.01e0) ^ 2.5) ^ 0.4')} AS ratio FROM events")
+def _(t, spark):
+    return t("events").select("event_id", runoff_ratio(F.col("value") / 50 + 0.01).alias("ratio"))
+
+
+@query("sessions", f"""WITH x AS (SELECT event_type, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
+    SELECT event_type, CAST(min(ts) AS VARCHAR) AS start, {r('sum(value)')} AS sum, count(value) AS n FROM s GROUP BY event_type, k""")
+def _(t, spark):
+    return recursions.sessions(t("events"), "ts", "value", BY, "10 minutes").select("event_type", F.col("start").cast("timestamp_ntz").cast("string").alias("start"), "sum", "n")
+
+
+@query("running_scores", f"SELECT event_type, count(*) AS n, {r('avg(s - o) / avg(o)')} AS bias, {r('1 - sum((s - o) ^ 2) / (var_pop(o) * count(*))')} AS nse FROM {_FULL} GROUP BY ALL")
+def _(t, spark):
+    return recursions.running_scores(_pairs(t), "o", "s", BY)
+
+
+def _file(spark, name: str) -> str:
+    """A new path below the shared folder, for writers on the driver: such a folder must be mounted there."""
+    folder = f"{shared_root(spark).removeprefix('file://')}/rillflow/files-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return f"{folder}/{name}"
+
+
+@query("csv_zip_round_trip", "SELECT n_nationkey::INTEGER AS n_nationkey, n_name, round(n_regionkey / 8e0, 5) AS part FROM nation")
+def _(t, spark):
+    path = _file(spark, "nation.csv")
+    csvio.write_csv(t("nation").select("n_nationkey", "n_name", (F.col("n_regionkey") / 8).alias("part")), path, {"purpose": "round trip"}, __file__)
+    return csvio.read_csv(spark, path[:-4] + ".zip", "n_nationkey int, n_name string, part double")[0]
+
+
+@query("band_zip_round_trip", "SELECT range AS cell, CASE WHEN c_custkey IS NULL THEN -9e0 ELSE c_custkey / 2e0 END AS value FROM range(100) LEFT JOIN customer ON c_custkey = range")
+def _(t, spark):
+    path, grid = _file(spark, "g.bil"), Grid(10, 10, 2.0, 1.0, 1.0, nodata=-9.0)
+    gridio.write_band(t("customer").where("c_custkey < 100").select(F.col("c_custkey").alias("cell"), (F.col("c_custkey") / 2).alias("value")), grid, path)
+    with zipfile.ZipFile(path + ".zip", "w") as z:
+        for end in (".hdr", ".bil"):
+            z.write(path[:-4] + end, "g" + end)
+    return gridio.read_zip(spark, path + ".zip", "g.hdr")[0]
+
+
 # ---- tasks
 
 @query("option_product", "SELECT row_number() OVER (ORDER BY r_name, k) - 1 AS taskid, r_name AS region, k::BIGINT AS k FROM region, (VALUES (1), (2), (3)) v(k)")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,22 +35,57 @@ def header_text(g: Grid) -> str:
     return f"NROWS {g.nrows}\nNCOLS {g.ncols}\nCELLSIZE {g.cellsize!r}\nXLLCORNER {g.xll!r}\nYLLCORNER {g.yll!r}\nPIXELTYPE {kind}\nNBITS {np.dtype(g.dtype).itemsize * 8}\nBYTEORDER I\nNODATA {g.nodata!r}\nNAME {g.name}\nCOMMENT {g.comment}\n"
 
 
+def _values(content: bytes, grid: Grid):
+    """Frames (cell, value) of a band's bytes."""
+    import pandas as pd
+
+    v = np.frombuffer(content, np.dtype(grid.dtype).newbyteorder("<"))
+    if len(v) != grid.ncols * grid.nrows:
+        raise ValueError(f"{len(v)} values for {grid.ncols * grid.nrows} cells")
+    for k in range(0, len(v), 100_000):
+        part = v[k : k + 100_000].astype(float)
+        yield pd.DataFrame({"cell": np.arange(k, k + len(part)), "value": part})
+
+
 def read_band(spark: SparkSession, path: str, grid: Grid) -> DataFrame:
     """cell, value of a band file."""
 
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                yield from _values(content, grid)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "cell long, value double")
+
+
+def read_zip(spark: SparkSession, path: str, header: str) -> tuple[DataFrame | None, Grid]:
+    """cell, value and geometry of a header and band in a zip file; without a band only the geometry."""
+    base = os.path.splitext(header)[0]
+    # of the archive the driver sees its names and the header alone
+    head = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_headers(base), "head string, band boolean").first()
+    grid = parse_header(head["head"])
+    if not head["band"]:
+        return None, grid
+
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    yield from _values(z.read(base + ".bil"), grid)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "cell long, value double"), grid
+
+
+def _headers(base: str):
     def run(batches):
         import pandas as pd
 
         for b in batches:
             for content in b["content"]:
-                v = np.frombuffer(content, np.dtype(grid.dtype).newbyteorder("<"))
-                if len(v) != grid.ncols * grid.nrows:
-                    raise ValueError(f"{len(v)} values for {grid.ncols * grid.nrows} cells")
-                for k in range(0, len(v), 100_000):
-                    part = v[k : k + 100_000].astype(float)
-                    yield pd.DataFrame({"cell": np.arange(k, k + len(part)), "value": part})
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    yield pd.DataFrame({"head": [z.read(base + ".hdr").decode()], "band": [base + ".bil" in z.namelist()]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "cell long, value double")
+    return run
 
 
 def write_band(cells: DataFrame, grid: Grid, path: str) -> None:

@@ -155,3 +155,155 @@ def test_streaming_baseflow_equals_batch(spark, tmp_path):
     want = {r["ts"]: r["baseflow"] for r in sequence.eckhardt(df, "q", ["k"], ["ts"]).collect()}
     got = {r["ts"]: r["baseflow"] for r in spark.table("base").collect()}
     assert got == pytest.approx(want)
+
+
+def test_published_probabilities_of_thirty_values():
+    """Statistics and p-values of an independent implementation, n = 30."""
+    golden = [(0.09512549, 0.6124847, 0.54319535, 0.70179255), (0.12183129, 0.49047093, 0.64451175, 0.60556343), (0.14730099, 0.3996688, 0.84116088, 0.45123213), (0.56671332, 0.02637722, 3.86919947, 0.01026198), (0.12787233, 0.46688876, 0.81852694, 0.46677797)]
+    for w, pw, a, pa_ in golden:
+        assert special.cramer_von_mises_pvalue(w, 30) == pytest.approx(pw, abs=1e-6)
+        assert 1 - special.anderson_darling_cdf(30, a) == pytest.approx(pa_, abs=1e-6)
+
+
+def test_accumulation_of_a_large_grid(spark):
+    """A million cells that drain south, 1000 steps long."""
+    g = Grid(1000, 1000)
+    cells = spark.range(1_000_000).select(F.col("id").alias("cell"), F.lit(4).alias("value"))
+    edge, ones = network.edges(cells, g), cells.select("cell", F.lit(1.0).alias("value"))
+    got = network.accumulate(edge, ones).where("cell % 1000 = 7").select("cell", "value").collect()
+    assert len(got) == 999 and all(r["value"] == r["cell"] // 1000 + 1 for r in got)
+
+
+def test_a_circle_is_refused(spark):
+    edge = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0)], "cell long, down long")
+    ones = edge.select("cell", F.lit(1.0).alias("value"))
+    with pytest.raises(ValueError, match="circle"):
+        network.accumulate(edge, ones)
+    assert {r["cell"] for r in network.area(edge, 1).collect()} == {0, 1, 2, 3}
+
+
+def test_cubic_of_a_missing_month(spark):
+    df = spark.sql("SELECT 'a' AS g, add_months(DATE'2000-01-01', cast(id AS int)) AS m, CASE WHEN id <> 3 THEN 10.0D + id END AS v FROM range(12)")
+    got = {str(r["m"])[:7]: r["s"] for r in resample.monthly_to_daily_cubic(df, "m", "v", ["g"]).groupBy(F.trunc("day", "month").alias("m")).agg(F.sum("v").alias("s")).collect()}
+    assert len(got) == 12 and got["2000-04"] == pytest.approx(-1) and got["2000-12"] == pytest.approx(21)
+
+
+def test_csv_keeps_rows_like_its_names(spark, tmp_path):
+    import zipfile
+
+    text = "# purpose : x\na,b\n1,2\na,b\n# no head\n3,4\n"
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("x.csv", text)
+    got, comments = csvio.read_csv(spark, str(tmp_path / "x.zip"))
+    assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == [("1", "2"), ("3", "4"), ("a", "b")] and comments == {"purpose": "x"}
+
+
+def test_ranks_in_blocks_equal_those_of_one(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", i, rng.normal(i % 7, 2, 20).round(1).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, k int, e array<double>")
+    want = []
+    for i, (_, k, a) in enumerate(rows):
+        rank = 1.0
+        for j, (_, _, b) in enumerate(rows):
+            if i != j:
+                above = sum(1 if y < x - 1e-6 else 0.5 if y <= x + 1e-6 else 0 for x in a for y in b) / 400
+                rank += 1 if above > 0.5 + 1e-12 else 0 if above < 0.5 - 1e-12 else 0.5
+        want.append(rank)
+    for block in (1000, 7):
+        assert [r["rank"] for r in ensemble.ensemble_ranks(df, "e", ["g"], "k", block=block).orderBy("k").collect()] == want
+
+
+def test_alpha_warns_of_censored_cases(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(max(0, rng.normal())), [float(max(0, x)) for x in rng.normal(size=50)]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g string, o double, e array<double>")
+    r = ensemble.alpha(df, "o", "e", ["g"], "KS").first()
+    assert r["many_sudo"] and 30 < r["sudo"] < 70 and 0 <= r["pvalue"] <= 1
+    with pytest.raises(ValueError):
+        ensemble.alpha(df, "o", "e", ["g"], "XX")
+
+
+def test_restrictions_of_a_single_parameter_are_t_squared(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2))
+    df = spark.createDataFrame([("g", float(a), float(b), float(1 + 2 * a + rng.normal())) for a, b in x], "g string, a double, b double, y double")
+    t = {r["term"]: r for r in stats.lstsq(df, ["a", "b"], "y", ["g"]).collect()}
+    f = stats.restriction_test(df, ["a", "b"], "y", ["g"], [[0, 0, 1]]).first()
+    assert f["f"] == pytest.approx(t["b"]["t"] ** 2) and f["p"] == pytest.approx(t["b"]["p"])
+
+
+def _stream(spark, df, tmp_path, make, mode="append"):
+    df.write.parquet(str(tmp_path / "in"))
+    name = f"out_{mode}_{df.columns[-1]}"
+    s = make(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).start()
+    s.processAllAvailable()
+    s.stop()
+    return spark.table(name)
+
+
+def test_streaming_residuals_and_scores_equal_batch(spark, tmp_path):
+    from rillflow.streaming import recursions
+
+    df = spark.sql("SELECT 'a' AS k, timestamp_seconds(id * 3600) AS ts, CASE WHEN id <> 7 THEN 5.0D + 4 * sin(id) END AS q FROM range(40)")
+    got = {r["ts"]: r["residual"] for r in _stream(spark, df, tmp_path / "a", lambda x: recursions.ar_residual_stream(x, "k", "ts", "q", [0.5, 0.2], 5.0)).collect()}
+    want = {r["ts"]: r["residual"] for r in stats.ar_residual(df, "q", [0.5, 0.2], ["k"], ["ts"], mean=5.0).collect()}
+    assert got == pytest.approx(want)
+    pair = df.select("k", F.col("q").alias("o"), (F.col("q") * 1.1).alias("s"))
+    one = _stream(spark, pair, tmp_path / "b", lambda x: recursions.running_scores(x, "o", "s", ["k"]), "complete").first()
+    assert one["n"] == 39 and one["bias"] == pytest.approx(0.1)
+
+
+def test_streaming_windows_and_sessions(spark, tmp_path):
+    """Sums by the hour, and a session that a gap of an hour ends; the last ones wait for the watermark."""
+    from rillflow.streaming import recursions
+
+    df = spark.sql("SELECT 'a' AS k, timestamp_seconds(id * 600 + CASE WHEN id > 11 THEN 7200 ELSE 0 END) AS ts, 1.0D AS v FROM range(60)")
+    hours = _stream(spark, df, tmp_path / "a", lambda x: recursions.windowed(x, "ts", "v", ["k"]), "update").collect()
+    assert sum(r["sum"] for r in hours) == 60 and max(r["n"] for r in hours) == 6
+    table = recursions.sessions(df, "ts", "v", ["k"]).orderBy("start").collect()
+    assert [r["n"] for r in table] == [12, 48]
+
+
+def test_quantiles_of_large_and_tied_groups(spark):
+    """The narrow intervals of large groups against NumPy, with ties, a null group and a group without values."""
+    from rillflow.operators.quantiles import with_quantiles
+
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=30_000), "b": rng.integers(0, 4, 30_000).astype(float), None: rng.exponential(size=50)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("none", None)], "k string, v double")
+    probs = [0.0, 0.013, 0.25, 0.5, 0.999, 1.0]
+    for small in (50_000, 100):
+        from rillflow.operators import quantiles as own
+
+        got = {r["g"]["k"]: r["q"] for r in own.quantiles(df, "v", ["k"], probs, small).collect()}
+        assert set(got) == {"a", "b", None}
+        for k, x in data.items():
+            assert got[k] == pytest.approx(np.quantile(x, probs).tolist(), abs=1e-12)
+    assert with_quantiles(df.select("k").distinct(), df, "v", ["k"], probs).where("q is null").first()["k"] == "none"
+
+
+def test_polygon_of_thousands_of_edges(spark):
+    n = 4000
+    ring = [(10 * math.cos(2 * math.pi * k / n), 10 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    rng = np.random.default_rng(5)
+    p = rng.uniform(-11, 11, (400, 2))
+    got = raster.points_inside(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "i int, x double, y double"), "x", "y", ring).orderBy("i").collect()
+    assert [r["inside"] for r in got] == [int(math.hypot(a, b) < 10) for a, b in p]
+
+
+def test_peaks_are_sought_one_after_the_other(spark):
+    """Against a plain search: the largest value left, the largest simulation near it, then the surroundings go."""
+    rng = np.random.default_rng(6)
+    o, s = rng.gamma(0.5, 4, 400), rng.gamma(0.5, 4, 400)
+    df = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate(zip(o, s, strict=True))], "g string, i int, o double, s double")
+    got = [(r["obs_pos"], r["sim_pos"], r["shift"]) for r in scores.absolute_peak_error(df, "o", "s", ["g"], ["i"], erase=20, before=3, after=4).orderBy("event").collect()]
+    free, want = {i: v for i, v in enumerate(o)}, []
+    left = len(free)
+    while left > 20 and free:
+        k = max(free, key=free.get)
+        m = max(range(max(0, k - 3), min(400, k + 5)), key=s.__getitem__)
+        want.append((k, m, abs(m - k)))
+        free = {i: v for i, v in free.items() if abs(i - k) > 20}
+        left -= 41
+    assert got == want and len(got) > 5
