@@ -709,7 +709,7 @@ def _(t, spark):
     s AS (SELECT x.k, x.x FROM x JOIN m ON m.k = x.k WHERE x > lo AND x < hi UNION ALL SELECT k, unnest([lo, hi]) FROM m),
     w AS (SELECT k, stddev_samp(x) * count(*) ^ (-0.2e0) AS h FROM s GROUP BY ALL),
     p AS (SELECT m.k, h, unnest(range(20)) AS i, unnest(list_concat(list_transform(range(10), lambda i: lo + (hi - lo) * i / 9), q)) AS g FROM m JOIN w ON w.k = m.k),
-    d AS (SELECT p.k, i, g, sum(exp(-((g - x) / h) ^ 2 / 2)) AS d FROM p JOIN s ON s.k = p.k GROUP BY ALL)
+    d AS (SELECT p.k, i, g, sum(exp(-0.5e0 * ((g - x) / h) ^ 2)) AS d FROM p JOIN s ON s.k = p.k GROUP BY ALL)
     SELECT k, {r('g')} AS x, {r('(d - min(d) OVER (PARTITION BY k)) / (max(d) OVER (PARTITION BY k) - min(d) OVER (PARTITION BY k))')} AS density FROM d""")
 def _(t, spark):
     x = t("supplier").select((F.col("s_nationkey") % 3).alias("k"), F.greatest(F.col("s_acctbal").cast("double") / 1000, F.lit(1.0)).alias("x"))
