@@ -95,6 +95,11 @@ ORACLE_SQL = {
         d AS (SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS gone FROM c JOIN t ON t.form = c.form WHERE (doc_id, line_no) > t GROUP BY doc_id)
         SELECT documents.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(gone, '') AS dropped_lines
         FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id""",
-    "op2_warc": None,
+    # SHA-1 in base32: five hexadecimal digits are four characters
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        n AS (SELECT *, list_transform(range(8), lambda j: list_sum(list_transform(range(5), lambda k: (strpos('0123456789abcdef', substr(x, 5 * j + k + 1, 1)) - 1) * (1 << (16 - 4 * k))))::BIGINT) AS n, max(page_id) OVER (PARTITION BY x, strlen(h)) AS first FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM n""",
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
