@@ -7,6 +7,7 @@ rounded to six digits, so that the order of additions doesn't show.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zipfile
 
@@ -747,7 +748,10 @@ def _(t, spark):
 
 def _file(spark, name: str) -> str:
     """A new path below the shared folder, for writers on the driver: such a folder must be mounted there."""
-    folder = f"{shared_root(spark).removeprefix('file://')}/rillflow/files-{uuid.uuid4().hex}"
+    root = shared_root(spark)
+    if not re.match(r"file:|/", root):
+        raise ValueError(f"{root} is no mounted folder")
+    folder = f"{re.sub('^file:/+', '/', root)}/rillflow/files-{uuid.uuid4().hex}"
     os.makedirs(folder)
     return f"{folder}/{name}"
 
