@@ -223,9 +223,10 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
-    plain = lambda df: sorted(repr(tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r)) for r in df[sorted(got)].astype(object).itertuples(index=False, name=None))
-    assert plain(got) == plain(want)
+    got, want = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
+    names = sorted(got.columns)
+    at = [[d[0] for d in want.description].index(c) for c in names]
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
 def brute_lines(rows):
