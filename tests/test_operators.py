@@ -165,6 +165,22 @@ def test_published_probabilities_of_thirty_values():
         assert 1 - special.anderson_darling_cdf(30, a) == pytest.approx(pa_, abs=1e-6)
 
 
+def test_pvalues_of_far_and_large_samples(spark):
+    stats_ = spark.createDataFrame([(600, 120.0, 700.0, 0.42), (3077, 1000.0, 5000.0, 0.45), (30_000, 5000.0, 1e5, 0.3), (30_000, 0.05, 0.3, 0.004)], "n int, cvm double, ad double, ks double")
+    got = ensemble.uniformity_pvalues(stats_).orderBy("n", "ks").collect()
+    assert [(round(r["cvm_p"], 6), round(r["ad_p"], 4), round(r["ks_p"], 6)) for r in (got[0], got[1], got[3])] == [(0, 0, 0)] * 3
+    assert got[2]["ks_p"] == pytest.approx(0.7215, abs=1e-3) and got[2]["cvm_p"] > 0.8
+    # the limit law's five per cent point, with the first correction for a finite n
+    for n in (2_000, 50_000, 10**7):
+        assert special.kolmogorov_pvalue(1.3580986 / n**0.5 - 1 / (6 * n), n) == pytest.approx(0.05, abs=2e-5)
+    # the ways of evaluation agree where they meet
+    for n, d in ((1_700, (3.99 / 1_700) ** 0.5 - 1e-9), (3_000, (2 / 3_000) ** 0.5), (20_000, (0.2 / 20_000) ** 0.5)):
+        exact = special._kolmogorov_matrix(d, n)
+        assert special._kolmogorov_series(d, n) == pytest.approx(exact, abs=5e-9)
+        assert special.kolmogorov_pvalue(d, n) == pytest.approx(1 - exact, abs=5e-9)
+    assert 2 * special._smirnov_upper(0.1, 400) == pytest.approx(1 - special._kolmogorov_matrix(0.1, 400), abs=1e-12)
+
+
 def test_accumulation_of_a_large_grid(spark):
     """A million cells that drain south, 1000 steps long."""
     g = Grid(1000, 1000)
