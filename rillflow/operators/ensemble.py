@@ -121,56 +121,97 @@ def iqr(df: DataFrame, ens: str, ref: str, by: list[str], low: float = 0.25, hig
     return x.groupBy(*by).agg((100 * F.avg(ratio(F.col("c") - F.col("a"), F.col("c") + F.col("a")))).alias("skill"), F.avg("a").alias("score"), F.avg("c").alias("clim"), F.avg(ratio(F.col("a"), F.col("c"))).alias("ratio"))
 
 
+def _counts(rows: list[int], below: list[int], upto: list[int], right: list[int], shape: tuple[int, int], kind) -> np.ndarray:
+    """For each member of `rows`, in order, row += for each forecast of `right` its members below plus those below or tied.
+
+    `below` and `upto` say how many of the sorted members of `right` those are; the counts only grow.
+    """
+    count, out = np.zeros(shape[1], kind), np.zeros(shape, kind)
+    one, views, add, b, u = memoryview(count), list(out), np.add, 0, 0
+    for i, b_, u_ in zip(rows, below, upto, strict=True):
+        for k in right[b : min(u, b_)]:
+            one[k] += 1
+        for k in right[u:b_]:
+            one[k] += 2
+        for k in right[max(u, b_) : u_]:
+            one[k] += 1
+        b, u = b_, u_
+        add(views[i], count, views[i])
+    return out
+
+
+def _above(left: list[np.ndarray], right: list[np.ndarray], eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each forecast of `left` and of `right`: twice the pairs of members of which left's is above, once those
+    that tie; and the same as seen from `right`, where rounding may tell otherwise."""
+    b, j = np.concatenate(right), np.repeat(np.arange(len(right)), [len(e) for e in right])
+    at = np.argsort(b, kind="stable")
+    b, j = b[at], j[at].tolist()
+    a, i = np.concatenate(left), np.repeat(np.arange(len(left)), [len(e) for e in left])
+    at = np.argsort(a, kind="stable")
+    a, i = a[at], i[at].tolist()
+    most = 2 * max(map(len, left)) * max(map(len, right))
+    kind = next(k for k in (np.int16, np.int32, np.int64) if most <= np.iinfo(k).max)
+    own = np.searchsorted(b, a - eps, "left"), np.searchsorted(b, a + eps, "right")
+    other = np.searchsorted(b + eps, a, "left"), np.searchsorted(b - eps, a, "right")
+    x = _counts(i, own[0].tolist(), own[1].tolist(), j, (len(left), len(right)), kind)
+    same = all(np.array_equal(p, q) for p, q in zip(own, other, strict=True))
+    return x, x if same else _counts(i, other[0].tolist(), other[1].tolist(), j, x.shape, kind)
+
+
+#: Blocks of forecasts that another block meets in one task of `ensemble_ranks`.
+WIDE = 8
+
+
 def ensemble_ranks(df: DataFrame, ens: str, by: list[str], key: str, eps: float = 1e-6, block: int = 1000) -> DataFrame:
     """by, key, rank: 1 + the sum over other forecasts of 1, 1/2 or 0, as members rank above, with or below theirs.
 
-    A group's forecasts are dealt to blocks of about `block`; each pair of blocks is one task's work,
-    in which a forecast meets all of the other block by one search in its joined members.
+    A group's forecasts are dealt to blocks of about `block`, fewer if they have over 128 members each.
+    The blocks stand in a circle: each meets itself and those up to half a circle on, WIDE of them in a task.
+    A NULL member counts among its forecast's members and is never above or tied; NaN is above all
+    numbers. Forecasts without a member or key have no rank.
     """
-    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
+    members = F.col(ens).cast("array<double>")
+    df = df.select(*by, F.col(key).alias("key"), F.filter(members, lambda x: x.isNotNull()).alias("ens"), F.size(members).alias("all")).where("all > 0 and key is not null")
+    sizes = df.groupBy(*by).agg(F.ceil(F.greatest(F.count("*"), F.sum("all") / F.lit(128.0)) / F.lit(float(block))).cast("int").alias("blocks"))
     on = F.lit(True)
     for i, c in enumerate(by):
         sizes = sizes.withColumnRenamed(c, f"g{i}")
         on = on & F.col(c).eqNullSafe(F.col(f"g{i}"))
-    placed = df.select(*by, F.col(key).alias("key"), F.col(ens).alias("ens")).join(sizes, on).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select(*by, "key", "ens", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    placed = df.join(sizes, on).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    # `own` is met by the block `steps` before it, and meets others itself in as many tasks as it takes
+    met = F.expr(f"transform(sequence(0, blocks div 2), d -> struct(pmod(own - d, blocks) as x, cast(d div {WIDE} as int) as part, d as steps))")
+    met = F.filter(met, lambda m: (2 * m["steps"] < F.col("blocks")) | (2 * m["x"] < F.col("blocks")))
+    meets = F.expr(f"transform(filter(sequence(0, blocks div 2), d -> d > 0 and d % {WIDE} = 0), d -> struct(own as x, cast(d div {WIDE} as int) as part, d as steps))")
+    pairs = placed.withColumn("at", F.explode(F.concat(met, meets))).select(*by, "key", "ens", "all", "own", "at.x", "at.part")
 
     def run(pdf):
-        m = [np.sort(np.asarray(e, float)) for e in pdf["ens"]]
-        low, high = min(e[0] for e in m), max(e[-1] for e in m)
-        step = 2 * (high - low) + 1 + 4 * eps
-        own = pdf["own"].to_numpy()
-        left = np.flatnonzero(own == own.min())
-        right = left if own.min() == own.max() else np.flatnonzero(own != own.min())
-        # members of the right block, each forecast's moved beyond those of the one before
-        shift = np.arange(len(right)) * step
-        start = np.concatenate([[0], np.cumsum([len(m[j]) for j in right])])
-        joined = np.concatenate([m[j] - low + s for j, s in zip(right, shift, strict=True)])
-        size = np.diff(start)
-        rank = np.zeros(len(m))
-        for i in left:
-            a = m[i][:, None] - low
-            below = np.searchsorted(joined, a - eps + shift, "left") + np.searchsorted(joined, a + eps + shift, "right") - 2 * start[:-1]
-            above = below.sum(axis=0) / 2 / (len(m[i]) * size)
-            u = np.where(above > 0.5 + 1e-12, 1.0, np.where(above < 0.5 - 1e-12, 0.0, 0.5))
-            if right is left:
-                rank[i] += u[right != i].sum()
-            else:
-                rank[i] += u.sum()
-                rank[right] += 1 - u
+        m = [np.asarray(e, float) for e in pdf["ens"]]
+        size, rank = pdf["all"].to_numpy().astype(np.int64), np.zeros(len(pdf))
+        filled = np.array([len(e) for e in m], np.int64)
+        mine = (pdf["own"] == pdf["x"]).to_numpy()
+        left = np.flatnonzero(mine)
+        right = np.arange(len(m)) if pdf["part"].iloc[0] == 0 else np.flatnonzero(~mine)
+        if len(left) and len(right):
+            theirs = np.flatnonzero(~mine[right])
+            above, seen = _above([m[i] for i in left], [m[j] for j in right], eps)
+            for i, a, s in zip(left, above, seen, strict=True):
+                even = size[i] * size[right]
+                rank[i] += ((a > even) + 0.5 * (a == even))[right != i].sum()
+                back = (2 * filled[i] * filled[right] - s)[theirs]
+                rank[right[theirs]] += (back > even[theirs]) + 0.5 * (back == even[theirs])
         return pdf[[*by, "key"]].assign(part=rank)
 
-    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by) + f"key {df.schema[key].dataType.simpleString()}, "
-    parts = pairs.groupBy(*by, "x", "y").applyInPandas(run, f"{kinds}part double")
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by) + f"key {df.schema['key'].dataType.simpleString()}, "
+    parts = pairs.groupBy(*by, "x", "part").applyInPandas(run, f"{kinds}part double")
     return parts.groupBy(*by, F.col("key").alias(key)).agg((1 + F.sum("part")).alias("rank"))
 
 
 def dscore(df: DataFrame, obs: str, ens: str, by: list[str], key: str, eps: float = 1e-6) -> DataFrame:
-    """by, dscore: (correlation of observed and forecast ranks + 1) / 2."""
+    """by, dscore: (correlation of observed and forecast ranks + 1) / 2, of groups of two and more forecasts."""
     r = ensemble_ranks(df, ens, by, key, eps)
     o = df.select(*by, key, F.row_number().over(Window.partitionBy(*by).orderBy(obs, key)).alias("ro"))
-    return o.join(r, [*by, key]).groupBy(*by).agg(((F.corr("ro", "rank") + 1) / 2).alias("dscore"))
+    out = o.join(r, [*by, key]).groupBy(*by).agg(((F.corr("ro", "rank") + 1) / 2).alias("dscore"), F.count("*").alias("n"))
+    return out.where("n > 1").drop("n")
 
 
 def alpha(df: DataFrame, obs: str, ens: str, by: list[str], kind: str = "CV", threshold: float = 5.0, random: bool = True, seed: int = 1) -> DataFrame:

@@ -230,6 +230,25 @@ def test_ranks_in_blocks_equal_those_of_one(spark):
         assert [r["rank"] for r in ensemble.ensemble_ranks(df, "e", ["g"], "k", block=block).orderBy("k").collect()] == want
 
 
+def test_ranks_of_odd_members_equal_pairs_one_by_one(spark):
+    """Members a tolerance apart, missing, NaN and infinite, in blocks enough for two tasks of each; groups of one."""
+    rng = np.random.default_rng(3)
+    odd = [None, float("nan"), float("inf")]
+    rows = [("a", i, i % 5, [odd[rng.integers(3)] if rng.random() < 0.05 else float(rng.integers(0, 12)) / 1e6 for _ in range(rng.integers(1, 9))]) for i in range(60)]
+    rows += [("a", 60, 1, []), ("a", 61, 2, None), ("b", 62, 3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "g string, k int, o int, e array<double>")
+    big = lambda x: (x != x, x)  # noqa: E731  NaN above all numbers
+    one = lambda x, y: 0 if x is None or y is None else 1 if big(y) < big(x - 1e-6) else 0.5 if y == y and y <= x + 1e-6 or x != x else 0
+    want = {}
+    for _, k, _, a in rows[:60]:
+        above = [sum(one(x, y) for x in a for y in b) / (len(a) * len(b)) for _, j, _, b in rows[:60] if j != k]
+        want[k] = 1 + sum(1 if u > 0.5 + 1e-12 else 0 if u < 0.5 - 1e-12 else 0.5 for u in above)
+    for block in (1000, 2, 3):
+        got = ensemble.ensemble_ranks(df, "e", ["g"], "k", block=block).where("g = 'a'").collect()
+        assert {r["k"]: r["rank"] for r in got} == want
+    assert [r["g"] for r in ensemble.dscore(df, "o", "e", ["g"], "k").collect()] == ["a"]
+
+
 def test_alpha_warns_of_censored_cases(spark):
     rng = np.random.default_rng(2)
     rows = [("a", float(max(0, rng.normal())), [float(max(0, x)) for x in rng.normal(size=50)]) for _ in range(200)]
