@@ -254,6 +254,18 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the rows of `wanted` (node, doc_id, th).
+
+    Rows that repeat an id and text are one before they are sent. The join's keys are plain columns,
+    those of the grouping, so every text is sent once: a null-safe comparison would deal the texts anew.
+    """
+    key = ["th", "id", "none"]
+    told = ["th", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    once = docs.select(*told, "text").groupBy(*key).agg(F.first("text").alias("text"))
+    return once.join(wanted.select("node", *told), key).select("node", "text")
+
+
 def _components(df: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, th, n_shingles, set_key of every row; set_key, component, least (id of the class) of every set."""
     small_batches(df.sparkSession)
@@ -266,10 +278,8 @@ def _components(df: DataFrame, percent: int, width: int, id_col: str, text_col:
     hubs = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
     hubs = materialize(hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     buckets = materialize(banded.join(hubs, "band"), "buckets")
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("own_id"), "th")
-    # rows that repeat an id and text are one before they are sent
-    once = docs.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
-    texts = materialize(once.join(wanted, (once.th == wanted.th) & once.doc_id.eqNullSafe(wanted.own_id)).select("node", "text"), "texts")
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi")
+    texts = materialize(_texts(docs, wanted), "texts")
 
     star = buckets.where("node <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialize(verify(star, texts, percent, width), "links")

@@ -180,6 +180,26 @@ def test_texts_that_share_an_id_stay_apart(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(unlike).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]
 
 
+def test_every_text_is_sent_once(spark):
+    from rillflow.llm.minhash import _documents, _texts
+
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (0, "a b"), (None, None), (2, "d")], "doc_id long, text string")
+    docs = _documents(df, "doc_id", "text")
+    wanted = docs.where("text is null or text <> 'd'").select("doc_id", "th").distinct().withColumn("node", F.coalesce("doc_id", F.lit(-1)) * 10 + F.pmod("th", F.lit(10)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        out = _texts(docs, wanted)
+        sent = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        got = sorted((r["text"] or "" for r in out.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # one for the texts, two for `wanted`: its own distinct and the join
+    assert len([x for x in sent if "th#" in x]) <= 3 and got == ["", "a b", "a b", "a b", "c"]
+
+
 def test_keep_one_of_each_component(spark, odd, empty):
     """Null ids, repeated rows and shared ids: one row of each group stays, and rows without words."""
     rows = [(1, A, "x"), (1, A, "y"), (1, B, "z"), (2, A, "x"), (None, B, "n"), (None, "a text of its own with null id", "n"), (None, "a text of its own with null id", "n"), (5, None, "e"), (6, " ", "e")]
